@@ -62,6 +62,42 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_sentences(spark, root).select("src_table", "row_id", "start_at")
 
 
+def blocks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """layout_blocks, the latest delivery of each (paper_id, block_id)."""
+    d = table(spark, root, "layout_blocks", "paper_id", "block_id", "updated_at", *columns)
+    return latest(d, ["paper_id", "block_id"], ["updated_at"])
+
+
+def p3_values(spark: SparkSession, root: str) -> DataFrame:
+    """Every value with its log-odds; blocks carry the start of the paragraph behind them."""
+    from pyspark.sql import Window
+
+    from lectorium.llm.truncation import cut_values
+
+    b = blocks(spark, root, "block_order", "block_role", "producer", "text")
+    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
+    b = b.withColumn("follow", F.when(F.lead("block_role").over(w).isin("paragraph", "footnote"), F.substring(F.lead("text").over(w), 1, 60)))
+    prose = b.where(F.col("text").isNotNull() & ~F.col("block_role").isin("heading", "caption", "list", "reference", "figure"))
+    lang = F.when(F.col("text").rlike("[\\u3040-\\u30ff]"), "ja").when(F.col("text").rlike("(?i)\\\\b(der|die|das|und|nicht|wurde)\\\\b"), "de").otherwise("en")
+    a = prose.select(F.lit("layout_blocks").alias("src_table"), F.col("block_id").alias("row_key"), lang.alias("lang"), "text", "follow", F.col("producer").alias("source"))
+    r = results(spark, root, "target_language", "text", "model", "model_version")
+    r = r.select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.col("target_language").alias("lang"), "text", F.lit(None).cast("string").alias("follow"), F.concat_ws(" ", "model", "model_version").alias("source"))
+    return cut_values(a.unionByName(r).where("trim(text) <> ''"))
+
+
+def p3_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rows, cut rows and rate per producer, and per model and version."""
+    cut = p3_found(spark, root)
+    b = blocks(spark, root, "producer", "text").where("trim(text) <> ''").select(F.lit("layout_blocks").alias("src_table"), F.col("block_id").alias("row_key"), F.col("producer").alias("source"))
+    r = results(spark, root, "text", "model", "model_version").where("trim(text) <> ''").select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.concat_ws(" ", "model", "model_version").alias("source"))
+    both = b.unionByName(r).join(cut.withColumn("hit", F.lit(1)), ["src_table", "row_key"], "left")
+    return both.groupBy("src_table", "source").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_cut")).withColumn("rate", F.round(F.col("n_cut") / F.col("n_rows"), 6))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return p3_values(spark, root).where("cut").select("src_table", "row_key").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 

@@ -55,6 +55,7 @@ _THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n\r]+(?=\S)")
 _THAI_NEXT = regex.compile("|".join(sorted(THAI_GOES_ON, key=len, reverse=True)))
 _TOKEN = regex.compile(r"(?:[\p{Latin}\p{Greek}\p{Cyrillic}\p{N}\p{Cf}.．]|(?<=[\p{Latin}\p{Greek}\p{Cyrillic}])\p{M})*$|[\p{L}\p{M}\p{Cf}.]*$")
+_UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
 _DIGIT = regex.compile(r"\p{N}")
 _ORDINAL = regex.compile(r"(?:^|[^\p{N}.])(\p{N}{1,2})$")
 _CASE = {}
@@ -77,13 +78,10 @@ def _plain(token: str) -> str:
 
 
 def _swapped(text: str) -> bool:
-    up = low = 0
-    for c in text:
-        if c.isupper():
-            up += 1
-        elif c.islower():
-            low += 1
-    return up > 8 and up > 2 * low
+    if text[:1].islower() or text[1:3].isupper() or text[2:4].isupper():
+        up = len(_UPPER.findall(text))
+        return up > 8 and up > 2 * len(_LOWER.findall(text))
+    return False
 
 
 def _is_cjk(c: str) -> bool:
