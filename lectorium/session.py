@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write once, read many: a parquet table in the shared checkpoint folder.
+
+    For frames that several branches of a plan read: unlike a checkpoint it is columnar and compressed, so
+    each branch reads its own columns.  It survives the loss of executors.  The table is removed when the
+    driver process ends.
+    """
+    sc = df.sparkSession.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lectorium-checkpoints")
+    path = f"{root.rstrip('/')}/lectorium-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append((df.sparkSession, path))
+    return df.sparkSession.read.parquet(path)
+
+
+_STORED: list = []
+
+
+@atexit.register
+def _remove_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            jvm = spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone: the cluster's own cleaning takes the folder
+            return
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast hint for a side that is proven small: its row count is taken first.
 
