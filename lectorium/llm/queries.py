@@ -98,8 +98,21 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_values(spark, root).where("cut").select("src_table", "row_key").distinct()
 
 
+def p4_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, root, "page_lines", "line_id", "paper_id", "page", "line_no", "origin", "text", "y_top", "ingested_at")
+    lines = latest(lines, ["line_id"], ["ingested_at"])
+    b = blocks(spark, root, "producer", "text", "page_start", "page_end").where("producer = 'ocr' AND text IS NOT NULL")
+    return lines, b
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.scannoise import noise
+
+    return noise(*p4_lines(spark, root))
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v) and k not in ("p4_lines",)}
 
 
 def oracle_sql() -> dict:
