@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.operators.versions import latest
-from lectorium.session import spread
+from lectorium.session import spread, stored
 from lectorium.sources.tables import table
 
 
@@ -111,6 +111,68 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return noise(*p4_lines(spark, root))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.alignment import aligned
+
+    r = results(spark, root, "task_id", "text", "source_language", "target_language")
+    t = table(spark, root, "translation_tasks", "task_id", "text").where("text IS NOT NULL").withColumnRenamed("text", "source_text").dropDuplicates(["task_id"])
+    d = r.join(t, "task_id").withColumnRenamed("result_id", "row_id")
+    return aligned(d).select(F.col("row_id").alias("result_id"), "src_start", "tgt_start")
+
+
+def sizes(spark: SparkSession, root: str) -> DataFrame:
+    """documents with their size in tokens, written once."""
+    from lectorium.llm.tokens import with_tokens
+
+    d = spread(table(spark, root, "documents", "doc_id", "source", "text").where("text IS NOT NULL"))
+    return stored(with_tokens(d).select("doc_id", "source", "tokens"))
+
+
+def p8_assignments(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.packing import packed
+
+    return packed(sizes(spark, root).select("doc_id", "tokens"), table(spark, root, "pack_capacities", "capacity_name", "capacity_tokens"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, fill and the least number of containers per capacity."""
+    a = p8_assignments(spark, root).groupBy("capacity_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("fill"))
+    least = F.ceil(F.sum("fill") / F.col("capacity_tokens"))
+    return a.groupBy("capacity_name", "capacity_tokens").agg(F.count("*").alias("n_containers"), least.alias("least_containers"), F.round(F.sum("fill") / (F.count("*") * F.col("capacity_tokens")), 6).alias("fill_share"))
+
+
+def p9_selection(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.mixing import mixed
+
+    return mixed(sizes(spark, root), table(spark, root, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.mixing import mixed
+
+    return mixed(sizes(spark, root), table(spark, root, "mix_targets"))[1]
+
+
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.subjects import scored, subjects_of
+
+    d = spread(table(spark, root, "documents", "doc_id", "text"))
+    return subjects_of(*scored(d, table(spark, root, "subject_labels", "doc_id", "subject_code")))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root)
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and characters per subject; a document of several subjects counts for each by its part."""
+    s = _subjects(spark, root)
+    part = s.groupBy("doc_id").agg((1 / F.count("*")).alias("part"))
+    d = table(spark, root, "documents", "doc_id", "text").select("doc_id", F.length("text").alias("n_chars"))
+    j = s.join(part, "doc_id").join(d, "doc_id")
+    return j.groupBy("subject_code").agg(F.count("*").alias("n_docs"), F.round(F.sum("part"), 6).alias("weight"), F.round(F.sum(F.col("part") * F.col("n_chars")), 2).alias("chars"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v) and k not in ("p4_lines",)}
 
