@@ -62,22 +62,39 @@ def by_length(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """One-one beads of the best alignment by length."""
     ratio = sum(b) / sum(a)
     n, m = len(a), len(b)
-    ca, cb = np.concatenate([[0], np.cumsum(a)]) * ratio, np.concatenate([[0], np.cumsum(b)])
-    cost = np.full((n + 1, m + 1), math.inf)
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    cost[0, 0] = 0
+    a = [x * ratio for x in a]
+    cost = [[math.inf] * (m + 1) for _ in range(n + 1)]
+    back = [[0] * (m + 1) for _ in range(n + 1)]
+    cost[0][0] = 0.0
+
+    def off(x: float, y: float) -> float:
+        return abs(x - y) / math.sqrt((x + y) * 1.5)
+
     for i in range(n + 1):
+        row, up, up2 = cost[i], cost[i - 1] if i else None, cost[i - 2] if i > 1 else None
         for j in range(m + 1):
-            for di, dj, base in ((1, 1, 0.0), (1, 2, 2.2), (2, 1, 2.2), (1, 0, 4.0), (0, 1, 4.0)):
-                if i >= di and j >= dj:
-                    x, y = ca[i] - ca[i - di], cb[j] - cb[j - dj]
-                    c = cost[i - di, j - dj] + base + (abs(x - y) / math.sqrt((x + y) / 2 * 3.0) if di and dj else 0)
-                    if c < cost[i, j]:
-                        cost[i, j] = c
-                        back[i, j] = (di, dj)
+            best, k = row[j], 0
+            if i and up[j] + 4.0 < best:
+                best, k = up[j] + 4.0, 1
+            if j and row[j - 1] + 4.0 < best:
+                best, k = row[j - 1] + 4.0, 2
+            if i and j:
+                c = up[j - 1] + off(a[i - 1], b[j - 1])
+                if c < best:
+                    best, k = c, 3
+                if j > 1 and up[j - 2] + 2.2 < best:
+                    c = up[j - 2] + 2.2 + off(a[i - 1], b[j - 1] + b[j - 2])
+                    if c < best:
+                        best, k = c, 4
+                if i > 1 and up2[j - 1] + 2.2 < best:
+                    c = up2[j - 1] + 2.2 + off(a[i - 1] + a[i - 2], b[j - 1])
+                    if c < best:
+                        best, k = c, 5
+            if i or j:
+                row[j], back[i][j] = best, k
     out, i, j = [], n, m
     while i or j:
-        di, dj = back[i, j]
+        di, dj = ((1, 0), (0, 1), (1, 1), (1, 2), (2, 1))[back[i][j] - 1]
         if di == dj == 1:
             out.append((i - 1, j - 1))
         i, j = i - di, j - dj
@@ -114,38 +131,44 @@ def _confident_pairs(frames):
 
 
 def _expect(model: dict | None):
-    """E-step: expected counts of (lang, source word, target word) in both directions."""
+    """E-step: expected counts of (lang, source word, target word) in both directions, a batch at a time."""
 
     def run(frames):
         for f in frames:
-            store: dict[tuple[str, str, str], list[float]] = {}
-            for lang, s, t in zip(f.lang, f.source, f.target):
-                for a in s:
-                    if a[0].isdigit():
-                        continue
-                    for b in t:
-                        if not b[0].isdigit():
-                            store.setdefault((lang, a, b), [0.0, 0.0])
-                sw, tw = [a for a in s if not a[0].isdigit()], [b for b in t if not b[0].isdigit()]
-                if not sw or not tw:
+            parts = []
+            for lang, rows in f.groupby("lang"):
+                va: dict[str, int] = {}
+                vb: dict[str, int] = {}
+                la, lb = [], []
+                for s, t in zip(rows.source, rows.target):
+                    x = [va.setdefault(w, len(va)) for w in s if not w[0].isdigit()]
+                    y = [vb.setdefault(w, len(vb)) for w in t if not w[0].isdigit()]
+                    if x and y:
+                        la.append(np.array(x))
+                        lb.append(np.array(y))
+                if not la:
                     continue
+                a = np.concatenate([np.repeat(x, len(y)) for x, y in zip(la, lb)])
+                b = np.concatenate([np.tile(y, len(x)) for x, y in zip(la, lb)])
+                at = np.repeat(np.arange(len(la)), [len(x) * len(y) for x, y in zip(la, lb)])
+                pair, code = np.unique(a * len(vb) + b, return_inverse=True)
+                wa, wb = list(va), list(vb)
+                pa_, pb_ = [wa[i] for i in pair // len(vb)], [wb[i] for i in pair % len(vb)]
                 if model is None:
-                    for a in sw:
-                        for b in tw:
-                            v = store[lang, a, b]
-                            v[0] += 1 / len(sw)
-                            v[1] += 1 / len(tw)
-                    continue
-                g = model.get(lang, {})
-                p = np.array([[g.get((a, b), (1e-7, 1e-7)) for b in tw] for a in sw])
-                x, y = p[..., 0] / (p[..., 0].sum(0) + 1e-6), p[..., 1] / (p[..., 1].sum(1, keepdims=True) + 1e-6)
-                for i, a in enumerate(sw):
-                    for j, b in enumerate(tw):
-                        v = store[lang, a, b]
-                        v[0] += x[i, j]
-                        v[1] += y[i, j]
-            rows = [(*k, *v) for k, v in store.items() if v[0] + v[1] > 1e-3]
-            yield pd.DataFrame(rows, columns=["lang", "a", "b", "x", "y"])
+                    p = np.ones((len(pair), 2))
+                else:
+                    g = model.get(lang, {})
+                    none = (1e-7, 1e-7)
+                    p = np.array([g.get(k, none) for k in zip(pa_, pb_)])
+                out = []
+                for side, other, n, c in ((0, b, len(vb), 1e-6), (1, a, len(va), 1e-6)):
+                    v = p[code, side]
+                    slot, into = np.unique(at * n + other, return_inverse=True)
+                    total = np.bincount(into, v, len(slot)) + (c if model is not None else 0)
+                    out.append(np.bincount(code, v / total[into], len(pair)))
+                d = pd.DataFrame({"lang": lang, "a": pa_, "b": pb_, "x": out[0], "y": out[1]})
+                parts.append(d[d.x + d.y > 1e-3])
+            yield pd.concat(parts) if parts else pd.DataFrame({"lang": [], "a": [], "b": [], "x": [], "y": []})
 
     return run
 
@@ -156,6 +179,7 @@ def train(pairs: DataFrame) -> tuple[dict, dict]:
     size = {r.lang: r.n for r in pairs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rank = Window.partitionBy("lang", "side").orderBy(F.desc("n"), "w")
     words = n.groupBy("lang", "side", "w").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= WORDS)
+    words = stored(words)
     weight: dict = {}
     for r in words.toPandas().itertuples():
         weight.setdefault(r.lang, {})[r.side, r.w] = math.log(1 + size[r.lang] / r.n)
@@ -203,32 +227,43 @@ def align(sa: list[list[str]], sb: list[list[str]], g: dict, by_a: dict, w: dict
     cov_t = ((ea[:, None, :] & b[None]) * wb).sum(2) / tb[None]
     cov_s = ((eb[None, :, :] & a[:, None, :]) * wa).sum(2) / ta[:, None]
 
+    single = 2 * cov_t * cov_s / (cov_t + cov_s + 1e-9)
+    link = (np.maximum(cov_s, cov_t) >= 0.3).tolist()
+
     def bead(i0, i1, j0, j1):
         x = ((ea[i0:i1].any(0) & b[j0:j1].any(0)) * wb).sum() / max((b[j0:j1].any(0) * wb).sum(), 1e-9)
         y = ((eb[j0:j1].any(0) & a[i0:i1].any(0)) * wa).sum() / max((a[i0:i1].any(0) * wa).sum(), 1e-9)
         return 2 * x * y / (x + y + 1e-9)
 
-    best = np.full((n + 1, m + 1), -1e9)
-    best[0, 0] = 0
-    back: dict = {}
+    one = single.tolist()
+    best = [[-1e9] * (m + 1) for _ in range(n + 1)]
+    best[0][0] = 0.0
+    back = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     for i in range(n + 1):
         for j in range(m + 1):
-            for di, dj in ((1, 0), (0, 1), (1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)):
-                if i < di or j < dj:
-                    continue
-                if not di or not dj:
-                    v = best[i - di, j - dj]
-                else:
-                    if di + dj > 2 and min(cov_s[i - di : i, j - dj : j].max(), cov_t[i - di : i, j - dj : j].max()) < 0.2:
-                        continue
-                    v = best[i - di, j - dj] + (bead(i - di, i, j - dj, j) - 0.3) * (di + dj) / 2 - 0.12 * (di + dj - 2)
-                if v > best[i, j]:
-                    best[i, j] = v
-                    back[i, j] = (di, dj)
+            top, step = best[i][j], (0, 0)
+            if i and best[i - 1][j] > top:
+                top, step = best[i - 1][j], (1, 0)
+            if j and best[i][j - 1] > top:
+                top, step = best[i][j - 1], (0, 1)
+            if i and j:
+                v = best[i - 1][j - 1] + one[i - 1][j - 1] - 0.3
+                if v > top:
+                    top, step = v, (1, 1)
+                if link[i - 1][j - 1]:  # larger beads only where every sentence has a link
+                    for di, dj in ((1, 2), (2, 1), (1, 3), (3, 1), (2, 2)):
+                        if i < di or j < dj:
+                            continue
+                        if not (all(any(link[p][j - dj : j]) for p in range(i - di, i)) and all(any(link[p][q] for p in range(i - di, i)) for q in range(j - dj, j))):
+                            continue
+                        v = best[i - di][j - dj] + (bead(i - di, i, j - dj, j) - 0.3) * (di + dj) / 2 - 0.12 * (di + dj - 2)
+                        if v > top:
+                            top, step = v, (di, dj)
+            best[i][j], back[i][j] = top, step
     out: set[tuple[int, int]] = set()
     i, j = n, m
     while i or j:
-        di, dj = back[i, j]
+        di, dj = back[i][j]
         for p in range(i - di, i):
             for q in range(j - dj, j):
                 if di == dj == 1 or cov_s[p, q] >= 0.4 or cov_t[p, q] >= 0.4:

@@ -54,8 +54,9 @@ _SKIP = regex.compile(r"[\s\p{Cf}]*")
 _THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n\r]+(?=\S)")
 _THAI_NEXT = regex.compile("|".join(sorted(THAI_GOES_ON, key=len, reverse=True)))
-_TOKEN = regex.compile(r"(?:[\p{Latin}\p{Greek}\p{Cyrillic}\p{N}\p{Cf}.．]|(?<=[\p{Latin}\p{Greek}\p{Cyrillic}])\p{M})*$|[\p{L}\p{M}\p{Cf}.]*$")
+_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.．]*$")
 _UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
+_AFTER_CJK = regex.compile(r"^.*[\p{Hiragana}\p{Katakana}\p{Han}ー]")
 _DIGIT = regex.compile(r"\p{N}")
 _ORDINAL = regex.compile(r"(?:^|[^\p{N}.])(\p{N}{1,2})$")
 _CASE = {}
@@ -184,6 +185,8 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
         if not gap and _DIGIT.match(nxt):
             continue
         token = _plain(_TOKEN.search(text, max(0, k - 24), k).group())
+        if token and not _is_cjk(token[-1]):  # a foreign word inside Japanese or Chinese
+            token = _AFTER_CJK.sub("", token)
         low = token.lower().strip(".")
         last = low.rpartition(".")[2]
         if low in always or last in always:
