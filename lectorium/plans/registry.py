@@ -22,7 +22,14 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lectorium.plans import references  # noqa: F401
+    import importlib
+    import pkgutil
+
+    import lectorium.plans as plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        if m.name != "registry":
+            importlib.import_module(f"lectorium.plans.{m.name}")
 
 
 def queries() -> dict[str, Callable]:
