@@ -269,6 +269,8 @@ def align(sa: list[list[str]], sb: list[list[str]], g: dict, by_a: dict, w: dict
                 if di == dj == 1 or cov_s[p, q] >= 0.4 or cov_t[p, q] >= 0.4:
                     out.add((p, q))
         i, j = i - di, j - dj
+    # a link of which both sides have a far better one elsewhere is a place holder of the monotone path
+    out = {(p, q) for p, q in out if single[p, q] >= 0.65 * min(single[p].max(), single[:, q].max())}
     score = np.maximum(2 * cov_s * cov_t / (cov_s + cov_t + 1e-9), np.where(cov_s > 0.62, 0.5, 0)) + 0.0
     for q in range(m):  # what moved, what is said again, what stands in a joined sentence
         if not any((p, q) in out for p in range(n)):

@@ -141,11 +141,16 @@ def fold(texts: pa.Array) -> pa.Array:
     while len(out) > 1:  # a mark joins the base right before it
         key = out[:-1] << 32 | out[1:]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = np.flatnonzero((keys[at] == key) & (row[:-1] == row[1:]) & (ccc[out[1:]] != 0))
+        a, b = out[:-1], out[1:]
+        lv = (a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175)  # Hangul joins by arithmetic
+        lvt = (a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b > 0x11A7) & (b <= 0x11C2)
+        known = (keys[at] == key) & (ccc[b] != 0)
+        hit = np.flatnonzero((known | lv | lvt) & (row[:-1] == row[1:]))
         if not len(hit):
             break
         hit = hit[np.concatenate([[True], np.diff(hit) > 1])]
-        out[hit] = values[at[hit]]
+        new = np.where(lv[hit], 0xAC00 + ((a[hit] - 0x1100) * 21 + b[hit] - 0x1161) * 28, np.where(lvt[hit], a[hit] + b[hit] - 0x11A7, values[at[hit]]))
+        out[hit] = new
         keep = np.ones(len(out), bool)
         keep[hit + 1] = False
         out, row = out[keep], row[keep]

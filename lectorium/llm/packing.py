@@ -67,8 +67,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
         moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
         fill[a] -= moved
         fill[b] += moved
-        stuck.discard(b)
-        stuck.discard(a)
+        stuck.clear()
     return [b for b in bins if b]
 
 

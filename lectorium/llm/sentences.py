@@ -40,7 +40,7 @@ MONTHS_DE = "Januar Februar März April Mai Juni Juli August September Oktober N
 # Thai words that carry a clause on behind a figure or a foreign word.
 THAI_GOES_ON = (
     "คน เป็น จาก แสดง ถึง และ หรือ ใน ปี เดือน วัน ครั้ง บาท เปอร์เซ็นต์ ต่อ ของ ที่ ซึ่ง โดย แห่ง ตัวอย่าง ราย ชิ้น เท่า หน่วย "
-    "กลุ่ม ข้อ ชั่วโมง นาที วินาที กิโลกรัม กรัม เมตร องศา สัปดาห์ ได้ มี ไม่ พบ"
+    "กลุ่ม ชั่วโมง นาที วินาที กิโลกรัม กรัม เมตร องศา สัปดาห์ ได้ มี ไม่ พบ"
 ).split()
 
 OPEN = dict(zip("(（[［【〔「『《〈“„«‘‚", ")）]］】〕」』》〉”“»’‘"))
@@ -50,7 +50,7 @@ _CAND = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}\p{SB=Sep}\n\r“”„«»\"()
 _STERM = regex.compile(r"\p{SB=STerm}")
 _TERMS = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}]")
 _SEP = set("\n\r  \x85")
-_SKIP = regex.compile(r"[\s\p{Cf}]*")
+_SKIP = regex.compile(r"[\s\x1c-\x1f\p{Cf}]*")
 _THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n\r]+(?=\S)")
 _THAI_NEXT = regex.compile("|".join(sorted(THAI_GOES_ON, key=len, reverse=True)))

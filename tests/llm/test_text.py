@@ -1,0 +1,168 @@
+import random
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lectorium.llm import lookalike, repetition, scannoise, truncation
+from lectorium.llm.sentences import sentence_spans, with_sentences
+
+
+def cut(t, lang=None):
+    return [t[a:b] for a, b in sentence_spans(t, lang)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("We thank T. Halvek, cf. Table 7. Next.", 2),
+        ("It rose to 4.5 in 2010, approx. 43.7 times. On 3 May it fell.", 2),
+        ("One said, “It is so. Nothing else,” and left. We go.", 2),
+        ("Critics call it “a label.” We disagree.", 2),
+        ("As Lee et al. (2008) argue. See No. 120. We stop.", 3),
+        ("Few asked why... the answer is court.", 1),
+        ("Am 3. Mai 2020, z. B. hier, Nr. 5. Es gilt vgl. Tab. 3.", 2),
+        ("Apparatus\nTwo coders came.", 2),
+        ("explains 58.8%.Two coders", 2),
+        ("問題だ。「これだけです。ほかはない」と述べた。次に、U. Xerox氏に感謝する。", 3),
+        ("集めた．なぜ続くのか…答えは審理である．", 2),
+        ("限られる。(訳注: 単位は原文のまま。)大きい。", 3),
+        ("他说：“数据不够。还要再测。”然后离开了。完了。", 2),
+        ("डॉ. Feyland ने यही विधि अपनाई थी। क्या यह ठीक है?", 2),
+        ("جمع د. Kaldun البيانات في عام 2011. هل يمكن؟ نعم", 3),
+        ("การทดลองนี้มีผู้เข้าร่วม 186 คน ข้อสรุปยังต้องตรวจสอบ", 2),
+        ("ค่าเฉลี่ยเพิ่มขึ้นจาก 42.6 เป็น 81.1 ข้อสรุปยังต้องตรวจสอบ", 2),
+        ("a TOTAL OF 3 RECORDS. wE DISAGREE, E.G. HERE. tHE END", 3),
+        ("7. Discussion of it", 1),
+        ("", 0),
+        (" \n ", 0),
+        (None, 0),
+    ],
+)
+def test_sentences(text, want):
+    assert len(cut(text)) == want if text else sentence_spans(text) == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=200))
+def test_sentences_cover_all_visible_text(t):
+    spans = sentence_spans(t)
+    assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    kept = "".join(t[a:b] for a, b in spans)
+    gone = [c for c in t if not c.isspace() and unicodedata.category(c) != "Cf"]
+    assert [c for c in kept if not c.isspace() and unicodedata.category(c) != "Cf"] == gone
+
+
+def test_sentences_frame(spark, rows):
+    d = spark.createDataFrame([(1, "An ox. Cats do.", "en", "x"), (2, None, None, "y"), (3, "", "xx", "z"), (1, "An ox. Cats do.", "en", "x")], "id int, text string, lang string, sentence string")
+    assert rows(with_sentences(d, "text", "lang"), "id", "start_at", "sentence") == [(1, 0, "An ox."), (1, 0, "An ox."), (1, 7, "Cats do."), (1, 7, "Cats do.")]
+    assert with_sentences(d.limit(0), "text", "lang").count() == 0
+
+
+def form(*texts):
+    return lookalike.fold(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_forms_that_look_the_same():
+    pairs = [("Ｔｅｘｔ　１", "Text 1"), ("üb", "üb"), ("ｶﾞﾗｽ", "ガラス"), ("а​bс", "abc"), ("ベ", "べ"), ("力", "力"), ("a\xa0b c", "a b c"), ("タ", "夕"), ("Α", "A"), ("fol\xadlow", "follow"), ("ọ̈", "ọ̈"), ("a‑b", "a-b")]
+    for a, b in pairs:
+        x, y = form(a, b)
+        assert x == y, (a, b, x, y)
+    for a, b in [("2", "²"), ("a", "ä"), ("か", "が"), ("a", "A"), (".", "。"), ("っ", "つ"), ("a\nb", "a b"), ("'", "’")]:
+        x, y = form(a, b)
+        assert x != y, (a, b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40)), max_size=6))
+def test_fold_is_idempotent_and_keeps_rows(texts):
+    texts = [None if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    once = form(*texts)
+    assert len(once) == len(texts) and [x is None for x in once] == [x is None for x in texts]
+    assert form(*once) == once
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aeoäéがかﾞ゙̣̈́ｶﾊﾟ각", max_size=20))
+def test_fold_agrees_on_equivalent_texts(t):
+    assert form(unicodedata.normalize("NFC", t)) == form(unicodedata.normalize("NFD", t))
+
+
+def test_same_look_pairs(spark, rows):
+    d = spark.createDataFrame([(1, "k", "ab"), (2, "k", "аb"), (3, "k", "ab"), (4, "k", "ac"), (5, None, "ab"), (6, "k", None), (7, "q", "ab")], "id bigint, key string, t string")
+    got = rows(lookalike.same_look_pairs(d, "x", "id", "key", "t"), "id_a", "id_b")
+    assert got == [(1, 2), (2, 3)]
+    assert lookalike.same_look_pairs(d.limit(0), "x", "id", "key", "t").count() == 0
+
+
+def brute_share(text):
+    units, sizes, ja = repetition.tokens(text)
+    n = repetition.CHARS if ja else repetition.WORDS
+    hit = [False] * len(units)
+    for j in range(len(units) - n + 1):
+        if any(units[i : i + n] == units[j : j + n] for i in range(j)):
+            hit[j : j + n] = [True] * n
+    return sum(s for s, h in zip(sizes, hit) if h) / max(1, sum(sizes))
+
+
+def test_repeat_share_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(60):
+        t = " ".join(rng.choice("ab cd ef, gh. ij\n kl".split(" ")) for _ in range(rng.randrange(60)))
+        assert repetition.exact_share(t) == pytest.approx(brute_share(t))
+    assert repetition.exact_share("要する、" * 20) == pytest.approx(brute_share("要する、" * 20)) and repetition.exact_share("要する、" * 20) > 0.7
+
+
+def test_crf_marks_planted_repeats():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    clean = ["\n".join(" ".join(rng.choice(words) for _ in range(9)) + "." for _ in range(6)) for _ in range(60)]
+    model = repetition.train(clean)
+    loop = clean[0] + "\n" + "\n".join([clean[0].split("\n")[2]] * 8)
+    assert repetition.shares(loop, model)[0] > 0.3 and repetition.shares(clean[1], model)[0] == 0
+    assert repetition.shares(None, model) == (None, None) and repetition.shares("—!", model) == (0.0, 0.0)
+    assert repetition.shares(clean[0] * 200, model)[1] > 0.9
+
+
+def test_truncation_contexts_are_position_independent():
+    a, b = truncation.Hashed(["^xx the end"]), truncation.Hashed(["^other words first", "^and so the end"])
+    for order in (0, 1):
+        assert a.at(np.array([10]), order)[0] == b.at(np.array([b.ends[1] - 1]), order)[0]
+    assert truncation.exempt("2.4 結果: 著作権期間") and truncation.exempt("• a;\n• b") and not truncation.exempt("The model explains")
+
+
+def test_truncation_end_to_end(spark, rows):
+    base = ["The committee approved the study of sleep. We thank A. Lee for comments on sleep. It remains open whether sleep causes rest or merely follows it."] * 8
+    vals = [("t", str(i), "en", x, None) for i, x in enumerate(base)]
+    vals += [("t", "cut", "en", base[0] + " The committee appro", None), ("t", "bare", "en", base[0] + " We thank A. Lee for comments on sleep", None), ("t", "on", "en", "The committee approved the", "study of sleep. We thank."), ("t", "h", "en", "3.1 Results", None)]
+    d = spark.createDataFrame(vals, "src_table string, row_key string, lang string, text string, follow string")
+    assert rows(truncation.cut_values(d).where("cut"), "row_key") == [("cut",)]
+
+
+def test_skeletons_and_units():
+    assert scannoise.skeleton("w0rking") == scannoise.skeleton("working") and scannoise.skeleton("cornments") == scannoise.skeleton("comments")
+    assert scannoise.skeleton("reaclied") == scannoise.skeleton("reached")
+    assert scannoise.units("", False, False) == [] and scannoise.units("12 3.4", False, False) == []
+
+
+def test_scan_noise(spark, rows):
+    good = ["the committee approved the study of memory in this working group", "we thank the committee for comments on working memory"] * 30
+    lines, k = [], 0
+    for page in range(1, 7):
+        body = ["Lee and Kim", *good[page * 5 : page * 5 + 6], f"{page}"]
+        for n, t in enumerate(body):
+            y = 40.0 if n == 0 else 760.0 if n == 7 else 60.0 + 18 * n
+            lines.append((k, "p", page, n, "ocr", t, y))
+            k += 1
+    lines[10] = (*lines[10][:5], "the cornmittee approved the study of wor-", lines[10][6])
+    lines[11] = (*lines[11][:5], "king memory in this w0rking group", lines[11][6])
+    d = spark.createDataFrame(lines, "line_id bigint, paper_id string, page int, line_no int, origin string, text string, y_top double")
+    b = spark.createDataFrame([("p", "b", 1, 1, None)], "paper_id string, block_id string, page_start int, page_end int, text string")
+    got = rows(scannoise.noise(d, b), "row_key", "noise_kind")
+    assert got.count(("10", "misread")) == 1 and ("10", "hyphen") in got and ("11", "misread") in got
+    assert sum(k == "header" for _, k in got) == 6 and sum(k == "page_number" for _, k in got) == 6
+    assert len(got) == 15
+    assert scannoise.noise(d.limit(0), b.limit(0)).count() == 0
