@@ -36,6 +36,8 @@ _EDGE = regex.compile(r"^[!|'’]+|[!|'’]+$")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]")
 _HYPHEN_END = regex.compile(r"([\p{Latin}\p{M}\p{N}†|!]+)[-‐¬­]\s*$")
 _FIRST = regex.compile(r"^[\p{Latin}\p{M}\p{N}†|!]+")
+#: A line that could be a running head: capital first, no mark inside.
+TITLE = r"^\p{Lu}[\p{L}\p{N}†!| '’-]+$|^\p{Lu}\p{L}+ et al\.$|^[\p{Lu}\p{N}][\p{L}\p{N}†!| .,()-]*(?i:vol)\. \S+ \(\S+\)$|^(\S ){5,}\S$|^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]+$"
 ROMAN = "^(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
@@ -113,12 +115,14 @@ def with_furniture(d: DataFrame) -> DataFrame:
     on_page = F.when(shaped & margin, "page_number").when(margin, "header")
     w = Window.partitionBy("src_table", "part", "unit", "page").orderBy("ix", "row_key")
     g = Window.partitionBy("src_table", "part", "unit", "page")
-    d = d.withColumns({"_next": F.lead("text").over(w), "_prev": F.lag("text").over(w), "_wide": F.max(F.length("text")).over(g), "_last": F.max("ix").over(g)})
+    d = d.withColumns({"_next": F.lead("text").over(w), "_prev": F.lag("text").over(w), "_last": F.max("ix").over(g)})
+    title = t.rlike(TITLE)
+    # the width of the body: lines that could be heads have no say, nor has a single long one
+    d = d.withColumn("_wide", F.max(F.when(~title & ~F.coalesce(shaped, F.lit(False)), F.length(t))).over(g))
     number_line = F.coalesce(shaped, F.lit(False)) & (decorated | near | (roman & ~t.rlike(r"^\d")) & (F.length(t) <= 5))
     fits = F.length(t) + 1 + F.length(F.regexp_extract("_next", r"^\s*(\S+)", 1)) <= F.col("_wide") - 1
-    title = t.rlike(r"^\p{Lu}[\p{L}\p{N}†!| '’-]+$|^\p{Lu}\p{L}+ et al\.$|^[\p{Lu}\p{N}][\p{L}\p{N}†!| .,()-]*(?i:vol)\. \S+ \(\S+\)$|^(\S ){5,}\S$|^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]+$")
-    open_before = F.col("_prev").isNull() | ~F.trim("_prev").rlike(r"[.!?。．！？]\W*$") | F.col("_prev").rlike(r"^\W*\S{1,8}\W*$")
-    pair = t.rlike(r"^\p{Lu}[\p{L}\p{N}†!| -]* (?i:and|und|AND) [\p{L}\p{N}†!| -]+$") & F.coalesce(F.col("_next").rlike(r"^\s*[\p{Ll}\p{N}]"), F.lit(False))
+    open_before = ~F.trim("_prev").rlike(r"[.!?。．！？]\W*$") | F.col("_prev").rlike(r"^\W*\S{1,8}\W*$")
+    pair = t.rlike(r"^\p{Lu}[\p{L}\p{N}†!| -]* (?:and|AND) [\p{L}\p{N}†!| -]+$") & (F.col("ix") > 0) & F.coalesce(F.col("_next").rlike(r"^\s*[\p{Ll}\p{N}]"), F.lit(False))
     caps = (F.upper(t) == t) & t.rlike(r"\p{Lu}{3}")
     in_block = F.when(number_line & (F.col("_last") > 0), "page_number").when((F.col("_last") > 0) & (F.col("ix") < F.col("_last")) & title & (fits | caps | pair & open_before), "header")
     return d.withColumn("kind", F.when(F.col("src_table") == "page_lines", on_page).otherwise(in_block)).drop("_next", "_prev", "_wide", "_last")
