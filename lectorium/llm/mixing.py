@@ -15,7 +15,7 @@ the rest for the total only, never in the report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_TARGETS = 10_000
@@ -62,7 +62,7 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, total: float
     s = s.withColumn("n", copies(F.col("rate"), F.col("doc_id"), seed)).where("n > 0")
     chosen = s.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "tokens")
     got = s.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("selected"), F.sum("n").alias("n_copies"))
-    sums = got.agg(F.sum("selected").alias("all_selected"))
-    report = r.join(got, "source", "left").fillna(0, ["selected", "n_copies"]).withColumn("_j", F.lit(1)).join(F.broadcast(sums.withColumn("_j", F.lit(1))), "_j").drop("_j")
-    report = report.withColumn("share_reached", F.col("selected") / F.col("all_selected")).drop("all_selected")
+    report = r.join(got, "source", "left").fillna(0, ["selected", "n_copies"])  # one row per target
+    every = F.sum("selected").over(Window.partitionBy(F.lit(0)))
+    report = report.withColumn("share_reached", F.when(every > 0, F.col("selected") / every).otherwise(0.0))
     return chosen, report

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 2000
+MOST_CAPACITIES = 1000
 #: Improving steps per item of a group after which the search stops (all items stay placed).
 STEPS = 6
 
@@ -115,9 +116,11 @@ def packed(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """
     n = items.where("tokens > 0").count()
     groups = max(1, -(-n // GROUP))
-    from lectorium.session import small
-
-    d = items.where("tokens > 0").withColumn("_j", F.lit(1)).join(small(capacities.where("capacity_tokens > 0").withColumn("_j", F.lit(1)), 1000), "_j").drop("_j")
+    sizes = capacities.where("capacity_tokens > 0").select("capacity_name", "capacity_tokens").limit(MOST_CAPACITIES + 1).collect()
+    if len(sizes) > MOST_CAPACITIES:
+        raise ValueError("the capacities are a short list")
+    each = F.array(*[F.struct(F.lit(r.capacity_name).alias("capacity_name"), F.lit(r.capacity_tokens).cast("int").alias("capacity_tokens")) for r in sizes])
+    d = items.where("tokens > 0").select("doc_id", "tokens", F.inline(each)) if sizes else items.limit(0).withColumns({"capacity_name": F.lit(""), "capacity_tokens": F.lit(1)})
     whole = F.floor(F.col("tokens") / F.col("capacity_tokens"))
     d = d.withColumn("_full", F.when(F.col("tokens") > F.col("capacity_tokens"), whole).otherwise(F.lit(0)).cast("int"))
     rest = F.col("tokens") - F.col("_full") * F.col("capacity_tokens")
