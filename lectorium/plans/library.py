@@ -117,9 +117,10 @@ def _(spark, root):
     cache = table(spark, root, "translation_cache", *_KEYS, "translated_text", "cached_at")
     models = cache.select("model", "model_version").distinct()
     tasks = table(spark, root, "translation_tasks", "text", "source_language", "target_language").select(F.sha2("text", 256).alias("text_hash"), "source_language", "target_language").distinct()
-    # one request per known model: the models are a property of the cache, reached by its language pairs
-    pairs = models.withColumn("_j", F.lit(1))
-    req = tasks.withColumn("_j", F.lit(1)).join(F.broadcast(pairs.limit(1000)), "_j").drop("_j")
+    # one request per known model: a short list, taken from the cache first
+    known = models.orderBy("model", "model_version").limit(1000).collect()
+    each = F.array(*[F.struct(F.lit(m.model).alias("model"), F.lit(m.model_version).alias("model_version")) for m in known])
+    req = tasks.select("*", F.inline(each))
     hit = L.cache_probe(req, cache, _KEYS)
     return hit.groupBy("model", "model_version").agg(F.count("*").alias("n_requests"), F.count("cached_at").alias("n_hits"))
 
