@@ -16,6 +16,12 @@ def results(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return latest(d, ["result_id"], ["ingested_at"]).where(F.col("text").isNotNull()).select("result_id", *columns)
 
 
+def p4_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.scannoise import paragraphs
+
+    return paragraphs(*p4_lines(spark, root))
+
+
 def p6_forms(spark: SparkSession, root: str) -> DataFrame:
     from lectorium.llm.lookalike import with_form
 

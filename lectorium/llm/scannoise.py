@@ -115,7 +115,9 @@ def with_furniture(d: DataFrame) -> DataFrame:
     on_page = F.when(shaped & margin, "page_number").when(margin, "header")
     w = Window.partitionBy("src_table", "part", "unit", "page").orderBy("ix", "row_key")
     g = Window.partitionBy("src_table", "part", "unit", "page")
-    d = d.withColumns({"_next": F.lead("text").over(w), "_prev": F.lag("text").over(w), "_last": F.max("ix").over(g)})
+    plain = F.when(~F.coalesce(shaped, F.lit(False)), F.col("text"))  # neighbours that are no numbers alone
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    d = d.withColumns({"_next": F.first(plain, ignorenulls=True).over(ahead), "_prev": F.lag("text").over(w), "_last": F.max("ix").over(g)})
     title = t.rlike(TITLE)
     # the width of the body: lines that could be heads have no say, nor has a single long one
     d = d.withColumn("_wide", F.max(F.when(~title & ~F.coalesce(shaped, F.lit(False)), F.length(t))).over(g))
@@ -124,7 +126,7 @@ def with_furniture(d: DataFrame) -> DataFrame:
     open_before = ~F.trim("_prev").rlike(r"[.!?。．！？]\W*$") | F.col("_prev").rlike(r"^\W*\S{1,8}\W*$")
     pair = t.rlike(r"^\p{Lu}[\p{L}\p{N}†!| -]* (?:and|AND) [\p{L}\p{N}†!| -]+$") & (F.col("ix") > 0) & F.coalesce(F.col("_next").rlike(r"^\s*[\p{Ll}\p{N}]"), F.lit(False))
     caps = (F.upper(t) == t) & t.rlike(r"\p{Lu}{3}")
-    in_block = F.when(number_line & (F.col("_last") > 0), "page_number").when((F.col("_last") > 0) & (F.col("ix") < F.col("_last")) & title & (fits | caps | pair & open_before), "header")
+    in_block = F.when(number_line & (F.col("_last") > 0), "page_number").when((F.col("_last") > 0) & (F.col("ix") < F.col("_last")) & title & ~t.rlike(r"[-‐¬\u00AD]$") & (fits | caps | pair & open_before), "header")
     return d.withColumn("kind", F.when(F.col("src_table") == "page_lines", on_page).otherwise(in_block)).drop("_next", "_prev", "_wide", "_last")
 
 
@@ -165,10 +167,9 @@ def _emit(frames):
 _COMPOUND = r"[A-Za-zÀ-ÿ]{2,}-[A-Za-zÀ-ÿ]{2,}"
 
 
-def noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """src_table, row_key, noise_kind: one row per row and kind."""
+def analysed(lines: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
+    """furniture, flow (body lines with their neighbours), hyphen (row keys) and fixes (row key, form, best)."""
     d = stored(with_furniture(_line_frame(lines, blocks)))
-    furniture = d.where("kind IS NOT NULL").select("src_table", "row_key", F.col("kind").alias("noise_kind"))
     body = d.where("kind IS NULL")
     flow = with_next(body.select("src_table", "part", "unit", "page", "ix", "row_key", "origin", "text"))
     u = stored(flow.select("src_table", "row_key", "next_key", "origin", "text", "next_text", "prev_text").mapInPandas(_emit, _UNITS))
@@ -178,20 +179,103 @@ def noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     groups = forms.groupBy("skel").agg(best.alias("best"), F.max("n").alias("n_best"))
     # context: the same word before
     pairs = u.where("hyphened IS NULL AND before <> ''").groupBy("skel", "before", "form").agg(F.count("*").alias("n"))
-    near = pairs.groupBy("skel", "before").agg(best.alias("best_here"), F.max("n").alias("n_here"))
+    near = pairs.groupBy("skel", "before").agg(best.alias("best_here"))
     odd = F.col("form").rlike("\u0002") | F.col("form").rlike(r"[\p{L}].*[0-9†!|]|[0-9†!|].*\p{L}") & ~F.col("form").rlike(r"^[0-9]+\p{L}{0,2}$")
     suspect = forms.join(groups, "skel").where((F.col("form") != F.col("best")) & (F.col("n") * F.when(odd, RATIO_ODD).otherwise(RATIO) <= F.col("n_best")))
     suspect = suspect.select("skel", "form", "best", "n_best", "n", odd.alias("odd"))
     plain = u.where("hyphened IS NULL AND ocr").join(suspect, ["skel", "form"]).join(near, ["skel", "before"], "left")
-    misread = plain.where(F.col("odd") | F.col("best_here").isNull() | (F.col("best_here") != F.col("form")) | (F.col("n_best") >= 50 * F.col("n"))).select("src_table", "row_key")
+    misread = plain.where(F.col("odd") | F.col("best_here").isNull() | (F.col("best_here") != F.col("form")) | (F.col("n_best") >= 50 * F.col("n")))
     # a broken word: the joined form against the hyphened one; its wrong sign lies in one of the two lines
     broken = u.where("hyphened IS NOT NULL")
     compounds = body.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_COMPOUND})"))).alias("hyphened")).groupBy("hyphened").agg(F.count("*").alias("n_own"))
     whole = forms.groupBy("form").agg(F.sum("n").alias("n_whole"))
     b = broken.join(compounds, "hyphened", "left").join(whole, "form", "left").join(groups, "skel", "left").fillna(0, ["n_own", "n_whole"])
-    hyphen = b.where("n_own <= n_whole OR n_own = 0").select("src_table", "row_key", F.lit("hyphen").alias("noise_kind"))
+    hyphen = b.where("n_own <= n_whole OR n_own = 0").select("src_table", "row_key", "form")
     wrong = b.where((F.col("best") != F.col("form")) & F.col("ocr") & (F.col("n_whole") * RATIO_ODD <= F.col("n_best")) & (F.col("n_own") == 0))
     at = F.expr("coalesce(array_min(filter(sequence(1, length(form)), i -> substring(form, i, 1) <> substring(best, i, 1))), 0)")
-    side = wrong.select("src_table", F.when(at > F.col("split"), F.coalesce("next_key", "row_key")).otherwise(F.col("row_key")).alias("row_key"))
-    bad = misread.unionByName(side).select("src_table", "row_key", F.lit("misread").alias("noise_kind"))
+    side = wrong.select("src_table", F.when(at > F.col("split"), F.coalesce("next_key", "row_key")).otherwise(F.col("row_key")).alias("row_key"), "form", "best")
+    fixes = misread.select("src_table", "row_key", "form", "best").unionByName(side)
+    return {"lines": d, "flow": flow, "hyphen": hyphen, "fixes": fixes}
+
+
+def noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """src_table, row_key, noise_kind: one row per row and kind."""
+    a = analysed(lines, blocks)
+    furniture = a["lines"].where("kind IS NOT NULL").select("src_table", "row_key", F.col("kind").alias("noise_kind"))
+    hyphen = a["hyphen"].select("src_table", "row_key", F.lit("hyphen").alias("noise_kind"))
+    bad = a["fixes"].select("src_table", "row_key", F.lit("misread").alias("noise_kind"))
     return furniture.unionByName(hyphen).unionByName(bad).distinct()
+
+
+def with_paragraph(flow: DataFrame) -> DataFrame:
+    """Append ``para``: the number of the paragraph in its paper (a block is one).
+
+    A new one starts at a heading or table cell, behind one, and behind a short line that ends a sentence.
+    Numbers run within a page; pages of a paper add the sum of those before, so no task holds a paper's lines.
+    """
+    keys = ["src_table", "part", "unit", "page"]
+    t, prev = F.trim("text"), F.trim("prev_text")
+    wide = F.max(F.length("text")).over(Window.partitionBy(*keys))
+    alone = lambda c: (F.length(c) < 40) & ~c.rlike(r"[.!?。．！？,;、，-]\W*$") & c.rlike(r"^[\p{Lu}\p{N}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]") & (F.size(F.split(c, " ")) <= 4)
+    ended = prev.rlike(r"[.!?。．！？][\"”’)\]」』]*$") & ~prev.rlike(r"(?:\b(?:cf|vs|e\.g|i\.e|al|Fig|Tab|Dr|No|vgl|bzw|ca|approx|Abb|Nr|S|p|\p{Lu}))\.$") & (F.length(prev) < 0.85 * wide)
+    new = F.when(F.col("unit") != "", F.lit(False)).otherwise(F.col("prev_text").isNull() | alone(prev) & (F.length(prev) < 0.6 * wide) | ended | (alone(t) & (F.length(t) < 0.6 * wide) & prev.rlike(r"[.!?。．！？]\W*$")))
+    w = Window.partitionBy(*keys).orderBy("ix", "row_key")
+    d = flow.withColumn("_n", F.coalesce(new, F.lit(False)).cast("int")).withColumn("_in", F.sum("_n").over(w))
+    p = Window.partitionBy("src_table", "part", "unit").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = d.groupBy(*keys).agg(F.sum("_n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(p), F.lit(0))).drop("_s")
+    return d.join(pages, keys).withColumn("para", F.col("_off") + F.col("_in")).drop("_n", "_in", "_off")
+
+
+def _reflowed(pieces: list[tuple[str, bool]], fixes: dict[str, str]) -> str:
+    """Lines of one paragraph to running text; fixes keep the letter case of what they replace."""
+    out = ""
+    japanese = any("\u3040" <= c <= "\u30ff" for text, _ in pieces for c in text)
+    for text, broken in pieces:
+        t = text.strip()
+        latin = out[-1:].isascii() and out[-1:].isalpha() and t[:1].isascii() and t[:1].isalpha()
+        glue = "" if not out or out.endswith("\u0003") or (japanese and not latin) else " "
+        if regex.search(r"\p{L}[-‐¬­]$", out):  # a word's own hyphen
+            out, glue = out[:-1] + "-", ""
+        out = out.rstrip("\u0003") + glue + (regex.sub(r"[-‐¬­]\s*$", "", t) + "\u0003" if broken else t)
+    out = out.rstrip("\u0003")
+    for form, best in fixes.items():
+        if form.startswith("\u0002"):
+            out = out.replace(best.replace("は", "lま"), best)
+        elif _CJK.search(form):
+            out = out.replace(form, best)
+    if fixes:
+
+        def put(m):
+            b = fixes.get(_EDGE.sub("", m.group()).lower())
+            if b is None:
+                return m.group()
+            tail = m.group()[len(m.group().rstrip("!|'’")) :]
+            b = b.upper() if len(b) > 1 and m.group().isupper() else b[:1].upper() + b[1:] if m.group()[:1].isupper() else b
+            return b + tail
+
+        out = _WORD.sub(put, out)
+    return out
+
+
+def paragraphs(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Clean paragraphs in reading order: src_table, paper_id, unit (block id or ''), para, page, n_lines, text."""
+    a = analysed(lines, blocks)
+    f = with_paragraph(a["flow"])
+    broken = a["hyphen"].select("src_table", "row_key", F.lit(True).alias("_b")).where("src_table = 'page_lines'").distinct()
+    words = a["hyphen"].where("src_table = 'layout_blocks'").groupBy("src_table", "row_key").agg(F.collect_set("form").alias("_words"))
+    f = f.join(broken, ["src_table", "row_key"], "left").join(words, ["src_table", "row_key"], "left")
+    # a block's key covers its lines: a line is broken if the joined form is one of the block's
+    joined = F.lower(F.concat(F.regexp_extract("text", r"([\p{L}\p{M}\p{N}†|!]+)[-‐¬\u00AD]\s*$", 1), F.regexp_extract("next_text", r"^([\p{L}\p{M}\p{N}†|!]+)", 1)))
+    f = f.withColumn("_b", F.coalesce("_b", F.array_contains("_words", joined), F.lit(False)))
+    keys = ["src_table", "part", "unit", "para"]
+    fixes = f.select(*keys, "row_key").join(a["fixes"], ["src_table", "row_key"]).select(*keys, "form", "best").distinct()
+    fixes = fixes.groupBy(*keys).agg(F.collect_list(F.struct("form", "best")).alias("fixes"))
+    g = f.groupBy(*keys).agg(F.min("page").alias("page"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("page", "ix", "row_key", "text", "_b"))).alias("pieces"))
+    g = g.join(fixes, keys, "left").select(*keys, "page", "n_lines", F.transform("pieces", lambda x: x["text"]).alias("texts"), F.transform("pieces", lambda x: x["_b"]).alias("broken"), "fixes")
+
+    def run(frames):
+        for x in frames:
+            text = [_reflowed(list(zip(t, b)), {r["form"]: r["best"] for r in (q if q is not None else ())}) for t, b, q in zip(x.texts, x.broken, x.fixes)]
+            yield pd.DataFrame({"src_table": x.src_table, "paper_id": x.part, "unit": x.unit, "para": x.para, "page": x.page, "n_lines": x.n_lines, "text": text})
+
+    return g.mapInPandas(run, "src_table string, paper_id string, unit string, para long, page long, n_lines long, text string")

@@ -166,3 +166,17 @@ def test_scan_noise(spark, rows):
     assert sum(k == "header" for _, k in got) == 6 and sum(k == "page_number" for _, k in got) == 6
     assert len(got) == 15
     assert scannoise.noise(d.limit(0), b.limit(0)).count() == 0
+
+
+def test_paragraphs_are_continuous(spark, rows):
+    text = ["We thank the committee for com-", "ments on w0rking memory and sleep,", "which is long-", "term work.", "Results", "The committee for comments on working memory met", "in long-term rooms of the committee."]
+    lines = [(i, "p", 1, i, "ocr", t, 70.0 + 18 * i) for i, t in enumerate(text)]
+    lines += [(100 + i, "q", 1, i, "structure", "comments on working memory in the long-term committee", 70.0 + 18 * i) for i in range(9)]
+    lines += [(50, "p", 1, 50, "ocr", "7", 770.0), (60, "p", 2, 0, "ocr", "And on the next page, 日本.", 70.0)]
+    d = spark.createDataFrame(lines, "line_id bigint, paper_id string, page int, line_no int, origin string, text string, y_top double")
+    b = spark.createDataFrame([("p", "b", 1, 1, "So it was in the com-\n- 1 -\nments on working mem0ry.")], "paper_id string, block_id string, page_start int, page_end int, text string")
+    got = [r.text for r in scannoise.paragraphs(d, b).where("paper_id = 'p'").orderBy("src_table", "para").collect()]
+    assert got[0] == "So it was in the comments on working memory."
+    assert got[1] == "We thank the committee for comments on working memory and sleep, which is long-term work."
+    assert got[2] == "Results" and not any("7" in g for g in got)
+    assert scannoise.paragraphs(d.limit(0), b.limit(0)).count() == 0
