@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectorium.operators.ordered import with_next
+
 # Thresholds of column detection, in page units or shares of the page width.
 HEADER_Y, FOOTER_MARGIN, MIN_COLUMN_ITEMS, SPAN_SHARE, BIN = 52.0, 48.0, 8, 0.55, 8
 
@@ -228,8 +230,8 @@ def document_class(page_kinds: DataFrame) -> DataFrame:
 
 def reading_edges(blocks: DataFrame, key: str = "block_id", doc: str = "paper_id", order: str = "block_order") -> DataFrame:
     """READS_BEFORE edges between neighbours in order."""
-    w = Window.partitionBy(doc).orderBy(order, key)
-    return blocks.select(doc, F.col(key).alias("source"), F.lead(key).over(w).alias("target")).where("target IS NOT NULL")
+    d = with_next(blocks.select(doc, key, order), [doc], order, key, [key])
+    return d.select(doc, F.col(key).alias("source"), F.col(f"next_{key}").alias("target")).where("target IS NOT NULL")
 
 
 def under_heading(blocks: DataFrame, doc: str = "paper_id", order: str = "block_order", key: str = "block_id") -> DataFrame:
