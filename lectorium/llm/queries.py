@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectorium.operators.ordered import with_next
 from lectorium.operators.versions import latest
 from lectorium.session import spread, stored
 from lectorium.sources.tables import table
@@ -76,15 +77,13 @@ def blocks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 def p3_values(spark: SparkSession, root: str) -> DataFrame:
     """Every value with its log-odds; blocks carry the start of the paragraph behind them."""
-    from pyspark.sql import Window
-
     from lectorium.llm.truncation import cut_values
 
     b = blocks(spark, root, "block_order", "block_role", "producer", "text")
-    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
-    b = b.withColumn("follow", F.when(F.lead("block_role").over(w).isin("paragraph", "footnote"), F.substring(F.lead("text").over(w), 1, 60)))
+    b = b.withColumn("start", F.when(F.col("block_role").isin("paragraph", "footnote"), F.substring("text", 1, 60)))
+    b = with_next(b, ["paper_id"], "block_order", "block_id", ["start"]).withColumnRenamed("next_start", "follow")
     prose = b.where(F.col("text").isNotNull() & ~F.col("block_role").isin("heading", "caption", "list", "reference", "figure"))
-    lang = F.when(F.col("text").rlike("[\\u3040-\\u30ff]"), "ja").when(F.col("text").rlike("(?i)\\\\b(der|die|das|und|nicht|wurde)\\\\b"), "de").otherwise("en")
+    lang = F.when(F.col("text").rlike(r"[\u3040-\u30ff]"), "ja").when(F.col("text").rlike(r"(?i)\b(der|die|das|und|nicht|wurde)\b"), "de").otherwise("en")
     a = prose.select(F.lit("layout_blocks").alias("src_table"), F.col("block_id").alias("row_key"), lang.alias("lang"), "text", "follow", F.col("producer").alias("source"))
     r = results(spark, root, "target_language", "text", "model", "model_version")
     r = r.select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.col("target_language").alias("lang"), "text", F.lit(None).cast("string").alias("follow"), F.concat_ws(" ", "model", "model_version").alias("source"))
