@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from lectorium.functions import segments as G
 from lectorium.plans.library import _BLK, blocks
 from lectorium.plans.registry import query
+from lectorium.session import shared_folder
 from lectorium.sources.tables import table
 from lectorium.streaming import increments as I
 
@@ -67,8 +67,7 @@ def _(spark, root):
 @query("stm_12_stream_first", "SELECT user_id, event_type, count(*) n FROM events GROUP BY 1, 2")
 def _(spark, root):
     """events as a stream, one delivery per event id, appended per micro-batch and read back."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lectorium-streams"
-    at = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, root, "events").schema
     s = I.first_deliveries(I.source(spark, root, schema, name="events.parquet").where("event_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "60 days")
     I.into_table(s, f"{at}/out", f"{at}/state").awaitTermination()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectorium.operators import layout as L
 from lectorium.plans.library import _BLK, blocks
 from lectorium.plans.registry import query
+from lectorium.session import shared_folder
 from lectorium.sources import packages as P
 from lectorium.sources.tables import table
 
@@ -42,8 +43,7 @@ def _(spark, root):
 
 @query("snk_01_staged_write", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(spark, root):
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lectorium-packages").removeprefix("file://")
-    path = f"{shared}/package-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}"
     d = table(spark, root, "nation", "n_nationkey", "n_name", "n_regionkey")
     P.staged_write(d.limit(1), path)
     P.staged_write(d, path)

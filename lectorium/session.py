@@ -29,16 +29,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(width(spark), *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a local session takes a temporary folder, any other one its warehouse.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), "lectorium")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectorium"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is read from ``spark.checkpoint.dir``; one of our own is set only where that is unset
-    (tests and local runs).
+    The folder is ``shared_folder``, unless the session has a checkpoint folder already.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lectorium-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -49,9 +60,7 @@ def stored(df: DataFrame) -> DataFrame:
     each branch reads its own columns.  It survives the loss of executors.  The table is removed when the
     driver process ends.
     """
-    sc = df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lectorium-checkpoints")
-    path = f"{root.rstrip('/')}/lectorium-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/lectorium-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STORED.append((df.sparkSession, path))
     return df.sparkSession.read.parquet(path)
