@@ -104,6 +104,14 @@ def test_alignment_with_moves_omissions_and_repeats(spark):
     assert not {r.row_id for r in got} & {902, 903}
 
 
+def test_length_alignment_of_very_long_texts():
+    rng = random.Random(6)
+    a = [rng.randrange(20, 200) for _ in range(900)]
+    b = [x for i, x in enumerate(a) if i % 90 != 7]
+    pairs = alignment.by_length(a, b)
+    assert sum(a[i] == b[j] for i, j in pairs) > 800
+
+
 def test_length_alignment_finds_the_gap():
     assert alignment.by_length([40, 90, 60, 30], [40, 45, 45, 60, 30]) == [(0, 0), (2, 3), (3, 4)]
 
