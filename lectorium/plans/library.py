@@ -118,7 +118,9 @@ def _(spark, root):
     models = cache.select("model", "model_version").distinct()
     tasks = table(spark, root, "translation_tasks", "text", "source_language", "target_language").select(F.sha2("text", 256).alias("text_hash"), "source_language", "target_language").distinct()
     # one request per known model: a short list, taken from the cache first
-    known = models.orderBy("model", "model_version").limit(1000).collect()
+    known = models.orderBy("model", "model_version").limit(1001).collect()
+    if len(known) > 1000:
+        raise ValueError("the models are a short list")
     each = F.array(*[F.struct(F.lit(m.model).alias("model"), F.lit(m.model_version).alias("model_version")) for m in known])
     req = tasks.select("*", F.inline(each))
     hit = L.cache_probe(req, cache, _KEYS)

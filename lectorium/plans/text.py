@@ -107,7 +107,9 @@ def _(spark, root):
 
 @query("glo_01_applied")
 def _(spark, root):
-    g = table(spark, root, "glossary_entries", "term", "translation", "target_language").where("target_language = 'ja'").orderBy("term", "translation").limit(5000).collect()
+    g = table(spark, root, "glossary_entries", "term", "translation", "target_language").where("target_language = 'ja'").orderBy("term", "translation").limit(5001).collect()
+    if len(g) > 5000:
+        raise ValueError("the glossary is a bounded table")
     entries = tuple({r.term: r.translation for r in g}.items())
     t = table(spark, root, "translation_tasks", "task_id", "text", "source_language").where("source_language = 'en'")
     return t.select("task_id", C.glossary_column(F.col("text"), entries).alias("text"))
