@@ -1,7 +1,8 @@
 """Noise in text from scanned pages: broken words, misread characters, running heads, page numbers.
 
 Method: words are grouped by their confusable-glyph skeleton; in each group the frequent form that the
-word before supports is taken as the right one.  Digits are masked to find heads and feet that return.
+word before supports is taken as the right one.  Digits are masked to find heads and feet that return
+on several pages of a paper; the place on the page (margin, off the grid of the body's lines) is a further sign.
 Lines are put in reading order and joined with SQL windows.
 
 Both tables become one frame of lines: a page line as it is, a block's text by its line breaks.
@@ -24,6 +25,10 @@ from lectorium.session import stored
 PAGE_HEIGHT, TOP, BOTTOM = 792.0, 0.0656, 0.942
 #: A form is misread when the group's best form is so many times as frequent; odd signs inside need less.
 RATIO, RATIO_ODD = 20.0, 2.0
+#: Lines at the head and at the foot of a page that may be furniture, and the share of its pages on which a running head is one of them.
+EDGE, EDGE_SHARE = 2, 0.8
+#: A line is off the grid if its distance to the body differs by this part from the median distance of its page's lines.
+OFF_GRID = 0.12
 # Glyphs that scans confuse, each class after its first sign.
 CLASSES = ["l1!|iI", "oO0", "s5S", "eEcC", "tT†", "gG9", "bB6", "zZ2", "aA4", "ーー一", "著箸", "はは", "未末", "土士", "人入", "千干", "間問聞", "大太犬", "日目曰", "りリ", "ソン", "シツ", "ロ口", "ニ二", "カ力", "ヘへ", "エ工", "タ夕", "ト卜", "ハ八"]
 # Sign pairs that are read for one sign.
@@ -94,14 +99,34 @@ def _line_frame(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def masked(text: Column) -> Column:
-    """Digits to #, letter spacing and case off, confusable signs to their class: the key of a running head."""
-    t = F.when(text.rlike(r"^(\S\s)+\s*\S?$") & ~text.rlike(r"\S\S"), F.regexp_replace(text, r"(\S) (?=\S)", "$1")).otherwise(text)
-    t = F.regexp_replace(F.translate(F.lower(t), "0159†!|", "olsgtll"), r"[0-9]+", "#")
-    return F.translate(F.trim(F.regexp_replace(t, r"[#\s]+", " ")), "ic", "le")
+    """Letters without their spacing and case, page and other free-standing numbers off, confusable signs to
+    their class: the key of a running head."""
+    t = F.when(text.rlike(r"(?<!\S)(?:\S ){4,}\S(?!\S)"), F.regexp_replace(text, r"(?<=(?:^|\s)\S) (?=\S(?:\s|$))", "")).otherwise(text)
+    t = F.regexp_replace(t, r"^\W*(?=\S*[0-9])[0-9lIoO!|sS†]{1,5}\s+|\s+(?=\S*[0-9])[0-9lIoO!|sS†]{1,5}\W*$", "")
+    t = F.regexp_replace(t, r"(?<![\p{L}0-9†!|])[0-9]+(?![\p{L}0-9†!|])", "")
+    t = F.translate(F.lower(t), "".join(map(chr, _MAP)), "".join(_MAP.values()))
+    for a, b in DIGRAPHS:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.regexp_replace(t, r"[^\p{L}]", "")
+
+
+def returning(d: DataFrame) -> DataFrame:
+    """src_table, row_key of the page lines at an edge of their page whose masked text stands at the edge of
+    several pages of the paper, seldom inside a page, and at least once apart from the body.
+
+    Lines are reduced by paper, key and page before they are counted, so a hot paper is spread."""
+    k = d.where("src_table = 'page_lines'").withColumn("_key", masked(F.col("text"))).where("length(_key) > 1").withColumn("_key", F.xxhash64("_key"))
+    n = k.groupBy("part", "_key", "page").agg(F.max("_edge").alias("_edge"), F.max(F.col("_edge") & F.col("_apart")).alias("_apart"))
+    n = n.groupBy("part", "_key").agg(F.count_if("_edge").alias("_e"), F.count("*").alias("_n"), F.max("_apart").alias("_apart"))
+    n = n.where((F.col("_e") >= 2) & (F.col("_e") >= EDGE_SHARE * F.col("_n")) & F.col("_apart")).select("part", "_key")
+    return k.where("_edge").join(n, ["part", "_key"], "left_semi").select("src_table", "row_key")
 
 
 def with_furniture(d: DataFrame) -> DataFrame:
-    """Append ``kind``: 'page_number', 'header' or null."""
+    """Append ``kind``: 'page_number', 'header' or null.
+
+    A head of page lines returns over pages, or has a shape and a place of its own; no place alone makes one.
+    """
     t = F.trim(F.col("text"))
     bare = F.lower(F.regexp_replace(t, r"(?i)^(page|seite|p\.|s\.|pp\.)\s*|^[\[(–—-]+\s*|\s*[\])–—-]+$|\.$", ""))
     first = F.regexp_extract(bare, r"^(\S+?)\s*(?:/\s*\S+)?$", 1)
@@ -111,8 +136,6 @@ def with_furniture(d: DataFrame) -> DataFrame:
     decorated = t.rlike(r"(?i)^(page|seite|p\.|s\.)\s*\S{1,5}$|^[–—-]\s*\S{1,5}\s*[–—-]$|^\[\S{1,5}\]$|^\S{1,5}\s*/\s*\S{1,5}$")
     near = number.between(F.col("from_page"), F.col("to_page"))
     shaped = number.isNotNull() | roman
-    margin = (F.col("y") < PAGE_HEIGHT * TOP) | (F.col("y") > PAGE_HEIGHT * BOTTOM)
-    on_page = F.when(shaped & margin, "page_number").when(margin, "header")
     w = Window.partitionBy("src_table", "part", "unit", "page").orderBy("ix", "row_key")
     g = Window.partitionBy("src_table", "part", "unit", "page")
     plain = F.when(~F.coalesce(shaped, F.lit(False)), F.col("text"))  # neighbours that are no numbers alone
@@ -127,7 +150,25 @@ def with_furniture(d: DataFrame) -> DataFrame:
     pair = t.rlike(r"^\p{Lu}[\p{L}\p{N}†!| -]* (?:and|AND) [\p{L}\p{N}†!| -]+$") & (F.col("ix") > 0) & F.coalesce(F.col("_next").rlike(r"^\s*[\p{Ll}\p{N}]"), F.lit(False))
     caps = (F.upper(t) == t) & t.rlike(r"\p{Lu}{3}")
     in_block = F.when(number_line & (F.col("_last") > 0), "page_number").when((F.col("_last") > 0) & (F.col("ix") < F.col("_last")) & title & ~t.rlike(r"[-‐¬\u00AD]$") & (fits | caps | pair & open_before), "header")
-    return d.withColumn("kind", F.when(F.col("src_table") == "page_lines", on_page).otherwise(in_block)).drop("_next", "_prev", "_wide", "_last")
+    # page lines: an edge line is apart if it is in the margin or off the grid of the body's lines
+    up, down = F.col("y") - F.lag("y").over(w), F.lead("y").over(w) - F.col("y")
+    d = d.withColumns({"_at": F.row_number().over(w), "_n": F.count("*").over(g), "_up": up, "_down": down}).withColumn("_pitch", F.percentile_approx("_down", 0.5).over(g))
+    top = F.col("_at") <= EDGE
+    edge = (F.col("src_table") == "page_lines") & (top | (F.col("_at") > F.col("_n") - EDGE))
+    off = F.coalesce(F.abs(F.when(top, F.col("_down")).otherwise(F.col("_up")) / F.col("_pitch") - 1) > OFF_GRID, F.lit(False))
+    margin = F.coalesce((F.col("y") < PAGE_HEIGHT * TOP) | (F.col("y") > PAGE_HEIGHT * BOTTOM), F.lit(False))
+    outer = (F.col("_at") == 1) | (F.col("_at") == F.col("_n"))
+    beside = F.coalesce(F.nullif(F.regexp_extract(t, r"^(\S{1,5})\s{2,}\S", 1), F.lit("")), F.regexp_extract(t, r"\S\s{2,}(\S{1,5})$", 1))
+    beside = F.translate(F.lower(beside), "lio|!s†g", "11011519")
+    numbered = F.when(beside.rlike("^[0-9]{1,5}$"), beside.cast("int")).between(F.col("from_page"), F.col("to_page")) & t.rlike(r"\p{L}")
+    alone = F.when(shaped & (margin | edge & near & off), "page_number")
+    alone = alone.when(F.coalesce(numbered & edge, F.lit(False)) | title & (margin | outer & off) | margin & off, "header")
+    d = d.withColumns({"kind": F.when(F.col("src_table") == "page_lines", alone).otherwise(in_block), "_edge": edge, "_apart": margin | off})
+    d = stored(d.drop("_next", "_prev", "_wide", "_last", "_at", "_n", "_up", "_down", "_pitch"))
+    heads = stored(returning(d)).withColumn("_returns", F.lit(True))
+    kind = F.coalesce("kind", F.when(F.col("_returns"), F.lit("header")))
+    edges = d.where("_edge").join(heads, ["src_table", "row_key"], "left").withColumn("kind", kind).drop("_returns")
+    return d.where("NOT _edge").unionByName(edges).drop("_edge", "_apart")
 
 
 def with_next(body: DataFrame) -> DataFrame:
@@ -169,7 +210,7 @@ _COMPOUND = r"[A-Za-zÀ-ÿ]{2,}-[A-Za-zÀ-ÿ]{2,}"
 
 def analysed(lines: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     """furniture, flow (body lines with their neighbours), hyphen (row keys) and fixes (row key, form, best)."""
-    d = stored(with_furniture(_line_frame(lines, blocks)))
+    d = with_furniture(_line_frame(lines, blocks))
     body = d.where("kind IS NULL")
     flow = with_next(body.select("src_table", "part", "unit", "page", "ix", "row_key", "origin", "text"))
     u = stored(flow.select("src_table", "row_key", "next_key", "origin", "text", "next_text", "prev_text").mapInPandas(_emit, _UNITS))
