@@ -51,8 +51,8 @@ def p1_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Results with a line marked as repeat, of which the exact measure confirms 30 %."""
-    return p1_shares(spark, root).where("marked_share > 0 AND repeat_share >= 0.3").select("result_id")
+    """Results that the content share of the field does not keep, of which the exact measure confirms 30 %."""
+    return p1_shares(spark, root).where("NOT keep AND repeat_share >= 0.3").select("result_id")
 
 
 def p2_sentences(spark: SparkSession, root: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Repetition inside one document.
 
 Method: the text is a sequence of lines (its sentences, long ones parted); a linear-chain conditional
-random field over observations of each line (how much of it stood earlier in the text, whether the very
-line did, short-phrase recurrence, length) is decoded with Viterbi and marks each line as content or
-boilerplate, here repeat.  The content share decides retention.  An exact measure follows: the share of
-letters and digits in stretches of ``WORDS`` words (``CHARS`` characters in Japanese) that occurred
-earlier, letter case, blanks and punctuation aside.
+random field over observations of each line (how much of it is short phrases heard before, whether the very
+line was, whether its neighbours were, variety of its words, length) is decoded with Viterbi and marks each
+line as content or boilerplate, here repeat.  The content share decides retention: a text with less than
+``KEEP`` of its letters in content lines is not kept.  Of those an exact measure follows: the share of letters
+and digits in stretches of ``WORDS`` words (``CHARS`` characters in Japanese) that occurred earlier, letter
+case, blanks and punctuation aside.
 
-The field is trained here on a bounded sample of texts (``TRAIN_TEXTS``) into which repeats are planted,
-so the labels are known.  Everything else sees all rows and whole texts.
+The field is trained here on a bounded sample of texts (``TRAIN_TEXTS``) into which copies are planted; a
+line's label says whether it was planted, and no observation is the exact measure.  Everything else sees all
+rows and whole texts.  A batch of texts is measured at once: units become numbers, phrases are numbered
+exactly by joining numbers of shorter ones, and Viterbi steps through all texts of the batch together.
 
 Defined results: null text gives null shares; a text without letters or digits has share 0; a text
 shorter than one stretch has share 0.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,8 +29,11 @@ import regex
 
 WORDS, CHARS = 5, 12
 TRAIN_TEXTS = 300
+#: Content share below which a text is not kept.
+KEEP = 0.8
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _CF = regex.compile(r"\p{Cf}+")
+_MARK = regex.compile(r"\p{M}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]")
 _BREAK = regex.compile(r"[\n\r]+|(?<=[.!?。．！？।؟])\s*")
@@ -34,114 +41,177 @@ PIECE_WORDS, PIECE_CHARS = 10, 24
 N_FEATURES = 12
 
 
-def tokens(text: str) -> tuple[list[str], list[int], bool]:
-    """Units (words, or characters of Japanese), the letters and digits in each, and whether characters."""
-    clean = _CF.sub("", text).lower()
-    words = _WORD.findall(clean)
-    letters = sum(map(len, words))
-    japanese = bool(_KANA.search(clean)) and 2 * len(_CJK.findall(clean)) > letters
+def is_japanese(text: str) -> bool:
+    clean = _CF.sub("", text)
+    return bool(_KANA.search(clean)) and 2 * len(_CJK.findall(clean)) > sum(map(len, _WORD.findall(clean)))
+
+
+def units_of(text: str, japanese: bool) -> tuple[list[str], list[int]]:
+    """Units (words, or characters of Japanese) and the letters and digits in each, combining marks aside."""
+    words = _WORD.findall(_CF.sub("", text).lower())
+    marks = bool(_MARK.search(text))
     if japanese:
-        units = [c for w in words for c in w if not unicodedata.combining(c)]
-        return units, [1] * len(units), True
-    return words, [sum(not unicodedata.combining(c) for c in w) for w in words], False
+        units = [c for w in words for c in w if not (marks and unicodedata.combining(c))]
+        return units, [1] * len(units)
+    return words, [sum(not unicodedata.combining(c) for c in w) for w in words] if marks else list(map(len, words))
+
+
+def _numbered(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1]
 
 
-def covered(units: list[str], n: int) -> np.ndarray:
-    """Which units lie in a stretch of n or more units that occurred earlier."""
+def phrases(units: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n units from each place on, equal for equal phrases and only for them."""
+    got, width = units, 1
+    while width < n:
+        step = min(width, n - width)
+        head, tail = got[: len(units) - width - step + 1], got[step:][: len(units) - width - step + 1]
+        got, width = _numbered(head * (int(got.max(initial=0)) + 1) + tail), width + step
+    return got
+
+
+def heard(units: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Which units lie in a stretch of n or more that occurred earlier in the same row."""
     m = len(units)
     if m <= n:
         return np.zeros(m, bool)
-    seen, delta = {}, np.zeros(m + 1, np.int32)
-    for j in range(m - n + 1):
-        k = tuple(units[j : j + n])
-        if k in seen:
-            delta[j] += 1
-            delta[j + n] -= 1
-        else:
-            seen[k] = j
-    return np.cumsum(delta[:-1]) > 0
-
-
-def exact_share(text: str) -> float:
-    units, sizes, ja = tokens(text)
-    total = sum(sizes)
-    return float(np.array(sizes)[covered(units, CHARS if ja else WORDS)].sum() / total) if total else 0.0
-
-
-def lines_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Observations of each line, letters in each, lettered units' line numbers, exact share."""
-    pieces, japanese = [], tokens(text)[2]
-    cap = PIECE_CHARS if japanese else PIECE_WORDS
-    for part in _BREAK.split(text):
-        if part:
-            u, s, _ = tokens(part)
-            if japanese:
-                u = [c for w in u for c in w]
-                s = [1] * len(u)
-            for i in range(0, len(u), cap):
-                pieces.append((u[i : i + cap], s[i : i + cap]))
-    units = [x for u, _ in pieces for x in u]
-    sizes = np.array([x for _, s in pieces for x in s], dtype=float)
-    line = np.repeat(np.arange(len(pieces)), [len(u) for u, _ in pieces]) if pieces else np.zeros(0, int)
-    big = covered(units, CHARS if japanese else WORDS)
-    short = covered(units, CHARS // 2 if japanese else 3)
-    total = np.bincount(line, sizes, len(pieces))
-    by = lambda mask: np.bincount(line, sizes * mask, len(pieces)) / np.maximum(total, 1)
-    a, b = by(big), by(short)
-    same, heard = np.zeros(len(pieces)), set()
-    for i, (u, _) in enumerate(pieces):
-        k = tuple(u)
-        same[i] = k in heard
-        heard.add(k)
-    count = np.array([len(u) for u, _ in pieces])
-    f = np.zeros((len(pieces), N_FEATURES))
+    whole = np.flatnonzero(row[: m - n + 1] == row[n - 1 :])
+    g = phrases(units, n)[whole]
+    _, first, back = np.unique(row[whole] * (int(g.max(initial=0)) + 1) + g, return_index=True, return_inverse=True)
+    again = whole[first[back] < np.arange(len(whole))]
+    delta = np.bincount(again, minlength=m + 1) - np.bincount(again + n, minlength=m + 1)
+    return np.cumsum(delta[:m]) > 0
+
+
+@dataclass
+class Lines:
+    """Lines of many texts: of each its text (``row``), letters and observations; of each text the exact share;
+    of each unit its line."""
+
+    row: np.ndarray
+    letters: np.ndarray
+    seen: np.ndarray
+    exact: np.ndarray
+    unit_line: np.ndarray
+
+
+def lines_of(texts: list[str]) -> Lines:
+    known: dict[str, int] = {}
+    ids, sizes, parts, part_row, ja = [], [], [], [], []
+    for r, t in enumerate(texts):
+        j = is_japanese(t)
+        ja.append(j)
+        for part in _BREAK.split(t):
+            u, s = units_of(part, j) if part else ((), ())
+            if u:
+                ids += [known.setdefault(x, len(known)) for x in u]
+                sizes += s
+                parts.append(len(u))
+                part_row.append(r)
+    units, size, part, part_row = np.array(ids, np.int64), np.array(sizes, float), np.array(parts, np.int64), np.array(part_row, np.int64)
+    ja = np.array(ja, bool)
+    cap = np.where(ja[part_row], PIECE_CHARS, PIECE_WORDS) if len(part_row) else part
+    pieces = -(-part // cap) if len(part) else part
+    n = int(pieces.sum())
+    at = np.arange(len(units)) - np.repeat(np.cumsum(part) - part, part)
+    line = np.repeat(np.cumsum(pieces) - pieces, part) + at // np.repeat(cap, part)
+    row_of_line, cap_of_line = np.repeat(part_row, pieces), np.repeat(cap, pieces)
+    row = np.repeat(part_row, part)
+    big, short = np.zeros(len(units), bool), np.zeros(len(units), bool)
+    for signs, long_, few in ((True, CHARS, CHARS // 2), (False, WORDS, 3)):
+        of = np.flatnonzero(ja[row] == signs) if len(row) else np.zeros(0, int)
+        big[of], short[of] = heard(units[of], row[of], long_), heard(units[of], row[of], few)
+    letters = np.bincount(line, size, n)
+    count = np.bincount(line, minlength=n)
+    b = np.bincount(line, size * short, n) / np.maximum(letters, 1)
+    kinds = np.unique(line * max(len(known), 1) + units)
+    variety = np.bincount(kinds // max(len(known), 1), minlength=n) / np.maximum(count, 1)
+    # the very line before: lines are phrases of differing length, told apart by their digest
+    rng = np.random.default_rng(11).integers(1, 1 << 62, (max(len(known), 1),), dtype=np.int64).astype(np.uint64)
+    turn = (at % np.maximum(np.repeat(cap, part), 1)).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
+    mixed = (rng[units] + turn * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD) if len(units) else np.zeros(0, np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    starts = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else np.zeros(0, int)
+    digest = _numbered(np.add.reduceat(mixed, starts)) if len(starts) else np.zeros(0, int)
+    same = np.zeros(n, bool)
+    if n:
+        _, first, back = np.unique(row_of_line * (int(digest.max()) + 1) + digest, return_index=True, return_inverse=True)
+        same = first[back] < np.arange(n)
+    before, behind = np.zeros(n, bool), np.zeros(n, bool)
+    if n > 1:
+        kin = row_of_line[1:] == row_of_line[:-1]
+        before[1:], behind[:-1] = same[:-1] & kin, same[1:] & kin
+    f = np.zeros((n, N_FEATURES))
     f[:, 0] = 1
-    f[:, 1], f[:, 2], f[:, 3], f[:, 4] = a == 0, (a > 0) & (a < 0.5), (a >= 0.5) & (a < 1), a == 1
-    f[:, 5], f[:, 6], f[:, 7] = b == 0, (b > 0) & (b < 0.6), b >= 0.6
-    f[:, 8], f[:, 9] = same, count * 4 <= cap
-    f[1:, 10] = same[:-1]
-    f[:, 11] = a
-    share = float((sizes * big).sum() / sizes.sum()) if sizes.sum() else 0.0
-    return f, total, a, share
-
-
-def viterbi(f: np.ndarray, model: dict) -> np.ndarray:
-    w, t = model["emit"], model["move"]
-    e = f @ w
-    n = len(e)
-    best, back = e[0].copy(), np.zeros((n, 2), np.int8)
-    for i in range(1, n):
-        s = best[:, None] + t
-        back[i] = s.argmax(0)
-        best = s.max(0) + e[i]
-    out = np.zeros(n, np.int8)
-    out[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+    f[:, 1], f[:, 2], f[:, 3], f[:, 4], f[:, 5] = b == 0, (b > 0) & (b < 0.35), (b >= 0.35) & (b < 0.7), (b >= 0.7) & (b < 1), b == 1
+    f[:, 6], f[:, 7], f[:, 8] = same, before, behind
+    f[:, 9], f[:, 10] = count * 4 <= cap_of_line, variety <= 0.5
+    f[:, 11] = b
+    total = np.bincount(row, size, len(texts))
+    exact = np.bincount(row, size * big, len(texts)) / np.maximum(total, 1)
+    return Lines(row_of_line, letters, f, exact, line)
+
+
+def viterbi(f: np.ndarray, row: np.ndarray, model: dict) -> np.ndarray:
+    """Labels of the lines of all rows (lines of a row stand together), one step for all rows at a time."""
+    e, t = f @ model["emit"], model["move"]
+    if not len(e):
+        return np.zeros(0, np.int8)
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(start, len(e)))
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    back, best = np.zeros((len(e), 2), np.int8), e[start]
+    final = np.zeros((len(start), 2))
+    alive = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")  # rows longer than each step
+    for i in range(1, int(size[0]) + 1):
+        k = int(alive[i])
+        final[k : len(best)] = best[k:]
+        if not k:
+            break
+        s = best[:k, :, None] + t
+        back[start[:k] + i] = s.argmax(1)
+        best = s.max(1) + e[start[:k] + i]
+    out, now = np.zeros(len(e), np.int8), final.argmax(1).astype(np.int8)
+    for i in range(int(size[0]) - 1, -1, -1):
+        k = int(alive[i])
+        at = start[:k] + i
+        out[at] = now[:k]
+        now[:k] = back[at, now[:k]]
     return out
 
 
 def planted(texts: list[str], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training sequences: clean texts, half of them with repeats of known place."""
+    """Training sequences: texts without long repeats, half of them with planted copies; the label of a line is
+    whether most of its letters were planted."""
     rng, out = random.Random(seed), []
     for t in texts:
-        f, _, _, share = lines_of(t)
-        if not len(f) or share > 0.05:
+        clean = lines_of([t])
+        if not len(clean.row) or clean.exact[0] > 0.05:
             continue
         if rng.random() < 0.5:
-            out.append((f, np.zeros(len(f), int)))
+            out.append((clean.seen, np.zeros(len(clean.row), int)))
             continue
-        parts = [p for p in _BREAK.split(t) if p]
-        i = rng.randrange(len(parts))
-        k = rng.choice([1, 1, 2, 4, 8])
+        parts = [p for p in _BREAK.split(t) if p.strip()]
+        i, k, way = rng.randrange(len(parts)), rng.choice([1, 1, 2, 4, 8]), rng.random()
         p = parts[i]
         if rng.random() < 0.3:
-            at = p.find(" ", len(p) // 3) + 1 or len(p) // 3
-            p = p[:at]
-        mixed = parts[: i + 1] + [p] * k + parts[i + 1 :] if rng.random() < 0.6 else parts + parts[: i + 1] * k
-        f, _, a, _ = lines_of("\n".join(mixed))
-        if len(f):
-            out.append((f, (a >= 0.5).astype(int)))
+            p = p[: p.find(" ", len(p) // 3) + 1 or max(1, len(p) // 3)]
+        marked = [(x, False) for x in parts]
+        if way < 0.4:  # a line said again right behind itself
+            marked[i + 1 : i + 1] = [(p, True)] * k
+        elif way < 0.7:  # the text up to here said again at its end
+            marked += [(x, True) for x in parts[: i + 1]] * k
+        else:  # a phrase in a loop inside one line
+            phrase = p[: p.find(" ", len(p) // 4) + 1 or max(1, len(p) // 4)]
+            loop = [phrase, *[phrase] * (3 * k)]
+            marked[i : i + 1] = [(phrase, False), (" ".join(loop[1:]), True)]
+        mixed = "\n".join(x for x, _ in marked)
+        got = lines_of([mixed])
+        flag = np.concatenate([np.full(len(units_of(x, is_japanese(mixed))[0]), float(y)) for x, y in marked] or [np.zeros(0)])
+        if len(got.row) and len(flag) == len(got.unit_line):
+            part = np.bincount(got.unit_line, flag, len(got.row)) / np.maximum(np.bincount(got.unit_line, minlength=len(got.row)), 1)
+            out.append((got.seen, (part >= 0.5).astype(int)))
     return out
 
 
@@ -150,7 +220,7 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5) -> dict:
     data = planted(texts)
     if not data:
         f = np.zeros(N_FEATURES)
-        f[[2, 3, 4, 11]] = 1, 2, 3, 1
+        f[[3, 4, 5, 6]] = 1, 2, 2, 1
         f[0] = -1
         return {"emit": np.stack([-f, f], 1), "move": np.array([[0.5, -0.5], [-0.5, 0.5]])}
     n, most = len(data), max(len(y) for _, y in data)
@@ -179,27 +249,29 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5) -> dict:
     return {"emit": w, "move": t}
 
 
-def shares(text: str | None, model: dict) -> tuple[float | None, float | None]:
-    """(share of letters in lines marked repeat, exact share of repeated letters)."""
-    if text is None:
-        return None, None
-    f, letters, _, exact = lines_of(text)
-    if not len(f) or not letters.sum():
-        return 0.0, 0.0
-    mark = viterbi(f, model)
-    return float(letters[mark == 1].sum() / letters.sum()), exact
+def shares(texts: list[str | None], model: dict) -> np.ndarray:
+    """Of each text the share of letters in lines marked repeat, and the exact share of repeated letters."""
+    out = np.full((len(texts), 2), np.nan)
+    some = [i for i, t in enumerate(texts) if t is not None]
+    got = lines_of([texts[i] for i in some])
+    mark = viterbi(got.seen, got.row, model)
+    total = np.bincount(got.row, got.letters, len(some))
+    out[some, 0] = np.bincount(got.row, got.letters * mark, len(some)) / np.maximum(total, 1)
+    out[some, 1] = got.exact
+    return out
 
 
 def with_shares(df, text: str, model: dict):
-    """Append ``marked_share``, ``repeat_share`` and ``keep`` (content share of at least 0.7)."""
+    """Append ``marked_share``, ``repeat_share`` and ``keep`` (content share of at least ``KEEP``)."""
     from pyspark.sql import functions as F
 
     @F.pandas_udf("marked_share double, repeat_share double")
     def measure(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shares(x, model) for x in t], columns=["marked_share", "repeat_share"], dtype="float64")
+        return pd.DataFrame(shares([None if x is None else x for x in t], model), columns=["marked_share", "repeat_share"]).astype("Float64")
 
     d = df.withColumn("_s", measure(text))
-    return d.select(*df.columns, F.col("_s.marked_share").alias("marked_share"), F.col("_s.repeat_share").alias("repeat_share")).withColumn("keep", F.col("marked_share") < 0.3)
+    marked = F.nanvl("_s.marked_share", F.lit(None).cast("double"))
+    return d.select(*df.columns, marked.alias("marked_share"), F.nanvl("_s.repeat_share", F.lit(None).cast("double")).alias("repeat_share")).withColumn("keep", 1 - F.col("marked_share") >= KEEP)
 
 
 def fitted(df, text: str) -> dict:

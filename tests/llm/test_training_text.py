@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -99,7 +100,7 @@ def test_same_look_pairs(spark, rows):
 
 
 def brute_share(text):
-    units, sizes, ja = repetition.tokens(text)
+    units, sizes, ja = (*repetition.units_of(text, repetition.is_japanese(text)), repetition.is_japanese(text))
     n = repetition.CHARS if ja else repetition.WORDS
     hit = [False] * len(units)
     for j in range(len(units) - n + 1):
@@ -110,21 +111,61 @@ def brute_share(text):
 
 def test_repeat_share_against_brute_force():
     rng = random.Random(1)
-    for _ in range(60):
-        t = " ".join(rng.choice("ab cd ef, gh. ij\n kl".split(" ")) for _ in range(rng.randrange(60)))
-        assert repetition.exact_share(t) == pytest.approx(brute_share(t))
-    assert repetition.exact_share("要する、" * 20) == pytest.approx(brute_share("要する、" * 20)) and repetition.exact_share("要する、" * 20) > 0.7
+    texts = [" ".join(rng.choice("ab cd ef, gh. ij\n kl".split(" ")) for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += ["要する、" * 20, "", "—!", "o\u0301 é a\u200bb cd ef. " * 3, "短い文。" * 2]
+    got = repetition.lines_of(texts).exact
+    assert got.tolist() == pytest.approx([brute_share(t) for t in texts])
+    assert got[60] > 0.7
 
 
-def test_crf_marks_planted_repeats():
+def clean_texts(n, kinds=400):
     rng = random.Random(2)
-    words = [f"w{i}" for i in range(400)]
-    clean = ["\n".join(" ".join(rng.choice(words) for _ in range(9)) + "." for _ in range(6)) for _ in range(60)]
+    words = [f"w{i}" for i in range(kinds)]
+    return ["\n".join(" ".join(rng.choice(words) for _ in range(9)) + "." for _ in range(6)) for _ in range(n)]
+
+
+def test_crf_marks_planted_repeats():
+    clean = clean_texts(60)
     model = repetition.train(clean)
     loop = clean[0] + "\n" + "\n".join([clean[0].split("\n")[2]] * 8)
-    assert repetition.shares(loop, model)[0] > 0.3 and repetition.shares(clean[1], model)[0] == 0
-    assert repetition.shares(None, model) == (None, None) and repetition.shares("—!", model) == (0.0, 0.0)
-    assert repetition.shares(clean[0] * 200, model)[1] > 0.9
+    phrase = "The trial began. " + "it was so " * 20 + clean[3]
+    got = repetition.shares([loop, clean[1], None, "—!", clean[0] * 200, phrase, ""], model)
+    assert got[0, 0] > 0.3 and got[1, 0] == 0 and np.isnan(got[2]).all() and got[3].tolist() == [0, 0] and got[4, 1] > 0.9
+    assert 0.3 < got[5, 0] < 0.9 and got[6].tolist() == [0, 0]
+    assert got[:2].tolist() == [*repetition.shares([loop], model).tolist(), *repetition.shares([clean[1]], model).tolist()]
+
+
+def test_labels_are_the_planted_places():
+    data = repetition.planted(clean_texts(200, 12))
+    x, y = np.concatenate([f for f, _ in data]), np.concatenate([lab for _, lab in data])
+    assert 0.05 < y.mean() < 0.9
+    assert not any(np.array_equal(x[:, k] >= 0.5, y == 1) for k in range(x.shape[1]))
+    model = repetition.train(clean_texts(200, 12))
+    held = repetition.planted(clean_texts(260, 12)[200:], seed=3)
+    hit = [repetition.viterbi(f, np.zeros(len(f), int), model) == lab for f, lab in held]
+    assert np.concatenate(hit).mean() > 0.9
+
+
+def test_viterbi_of_many_rows_at_once():
+    rng = np.random.default_rng(3)
+    model = {"emit": rng.normal(size=(4, 2)), "move": rng.normal(size=(2, 2))}
+    size = [1, 7, 3, 7, 2]
+    f = rng.normal(size=(sum(size), 4))
+    row = np.repeat([0, 2, 3, 5, 9], size)
+    cuts = np.split(np.arange(len(f)), np.cumsum(size)[:-1])
+    alone = [repetition.viterbi(f[c], np.zeros(len(c), int), model) for c in cuts]
+    assert np.array_equal(repetition.viterbi(f, row, model), np.concatenate(alone))
+    for c, got in zip(cuts, alone):  # against all paths
+        e = f[c] @ model["emit"]
+        best = max(itertools.product((0, 1), repeat=len(c)), key=lambda z: sum(e[i, k] for i, k in enumerate(z)) + sum(model["move"][a, b] for a, b in zip(z, z[1:])))
+        assert tuple(got) == best
+
+
+def test_shares_frame(spark, rows):
+    d = spark.createDataFrame([(1, None, 0.5), (2, "", 0.1), (3, "one two three four five six. " * 4, 0.2)], "id int, t string, keep double")
+    got = {r.id: r for r in repetition.with_shares(d.drop("keep"), "t", repetition.train([])).collect()}
+    assert got[1].repeat_share is None and got[1].keep is None and got[2].repeat_share == 0 and got[2].keep and not got[3].keep
+    assert repetition.with_shares(d.limit(0).drop("keep"), "t", repetition.train([])).count() == 0
 
 
 def test_truncation_contexts_are_position_independent():
