@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,37 @@ def test_alignment_with_moves_omissions_and_repeats(spark):
     assert not {r.row_id for r in got} & {902, 903}
 
 
+def pair_rows(n):
+    rng = random.Random(4)
+    return [(k, " ".join(s), " ".join(t), "en", "de") for k in range(n) for s, t in [pair(rng, moved=k % 9 == 0)]]
+
+
+PAIR_COLUMNS = "row_id bigint, source_text string, text string, source_language string, target_language string"
+
+
+def test_rare_words_are_joined_and_batches_do_not_matter(spark, monkeypatch):
+    d = spark.createDataFrame(pair_rows(120), PAIR_COLUMNS)
+    run = lambda n: {tuple(r) for r in alignment.aligned(d.repartition(n)).collect()}
+    want = run(2)
+    assert len(want) >= 480 and run(20) == want
+    monkeypatch.setattr(alignment, "WORDS", 12)
+    assert run(3) == want
+
+
+def test_very_long_texts_take_little_memory():
+    """900 sentences against 900 others of 12 words each, a third of which render each other."""
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(5000)]
+    a = [list(dict.fromkeys(rng.choices(names, k=12))) for _ in range(900)]
+    b = [[x.upper() for x in s] if i % 3 == 0 else [f"y{rng.randrange(5000)}" for _ in range(12)] for i, s in enumerate(a)]
+    by_a, by_b = {x: [(x.upper(), 1.0)] for x in names}, {x.upper(): [(x, 1.0)] for x in names}
+    tracemalloc.start()
+    got = alignment.align(a, b, by_a, by_b, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i, i) for i in range(0, 900, 3)} <= got and peak < 300e6
+
+
 def test_length_alignment_of_very_long_texts():
     rng = random.Random(6)
     a = [rng.randrange(20, 200) for _ in range(900)]
