@@ -35,8 +35,10 @@ from lectorium.session import spread, stored
 WORDS = 60_000
 LEAST, ROUNDS = 0.01, 4
 #: Geometric mean of both probabilities at which a word counts as wholly rendered, and the least score that counts.
-SURE, FAINT = 0.03, 0.5
-FIGURE, UNKNOWN = 4.0, 3.0  # weights of figures, and of words that no confident pair holds
+SURE, FAINT = 0.05, 0.6
+FIGURE, UNKNOWN = 4.0, 3.0  # weights of figures without any pair, and of words that no confident pair holds
+#: The key of the weight of a word that occurs once: figures that are not frequent have it.
+RARE = ("", "")
 _TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{Latin}\p{M}]+|[\p{Han}々]+|[\p{Katakana}ー]+|[\p{Hiragana}]+")
 _HAN = regex.compile(r"[\p{Han}々]")
 
@@ -224,7 +226,7 @@ def _with_more(rows: DataFrame, key: str, rare: DataFrame | None, frequent: Data
 def train(pairs: DataFrame) -> tuple[Lexicon, DataFrame | None, DataFrame]:
     """Word-translation probabilities and weights: of frequent words at hand, of rare ones as a table (or null)."""
     each = lambda c, side: pairs.select("lang", F.lit(side).alias("side"), F.explode(F.split(c, " ")).alias("w"))
-    n = each("a_words", "a").unionByName(each("b_words", "b")).where(~F.col("w").rlike(r"^\p{N}")).groupBy("lang", "side", "w").agg(F.count("*").alias("n"))
+    n = each("a_words", "a").unionByName(each("b_words", "b")).groupBy("lang", "side", "w").agg(F.count("*").alias("n"))
     size = pairs.groupBy("lang").agg(F.count("*").alias("_size"))
     words = stored(n.join(F.broadcast(size), "lang").withColumn("weight", F.log1p(F.col("_size") / F.col("n"))).drop("_size"))
     # the count above which words are frequent: a running sum over the counts that occur, not over words
@@ -232,10 +234,11 @@ def train(pairs: DataFrame) -> tuple[Lexicon, DataFrame | None, DataFrame]:
     least = steps.where(F.col("up") <= WORDS).agg(F.min("n")).first()[0] or 1 << 62
     frequent = words.where(F.col("n") >= least)
     names = frequent.select("lang", "side", "w")
-    weight: dict = {}
+    weight = {r.lang: {RARE: math.log1p(r._size)} for r in size.collect()}  # a row per pair of languages
     for r in frequent.toPandas().itertuples():  # at most WORDS rows
-        weight.setdefault(r.lang, {})[r.side, r.w] = r.weight
-    some_rare = bool(words.where(F.col("n") < least).take(1))
+        weight[r.lang][r.side, r.w] = r.weight
+    far = words.where((F.col("n") < least) & ~F.col("w").rlike(r"^\p{N}")).select("lang", "side", "w", "weight")
+    some_rare = bool(far.take(1))
     if some_rare:
         pairs = stored(pairs.withColumn("pair_id", F.monotonically_increasing_id()))
     lexicon, rare = None, None
@@ -254,7 +257,6 @@ def train(pairs: DataFrame) -> tuple[Lexicon, DataFrame | None, DataFrame]:
             others = lambda o: F.collect_list(F.struct(F.col(o).alias("o"), "px", "py")).alias("others")
             by_a = c.where("_a IS NULL").groupBy("lang", F.lit("a").alias("side"), F.col("a").alias("w")).agg(others("b"))
             by_b = c.where("_a AND _b IS NULL").groupBy("lang", F.lit("b").alias("side"), F.col("b").alias("w")).agg(others("a"))
-            far = words.where(F.col("n") < least).select("lang", "side", "w", "weight")
             rare = stored(far.join(by_a.unionByName(by_b), ["lang", "side", "w"], "left"))
         model: dict = {}
         for r in near.select("lang", "a", "b", "px", "py").toPandas().itertuples():  # at most WORDS / LEAST rows
@@ -268,7 +270,7 @@ def renderings(model: dict) -> dict:
     out: dict = {}
     for (a, b), (px, py) in model.items():
         s = min(1.0, math.sqrt(px * py) / SURE)
-        if s >= FAINT:
+        if s >= FAINT and min(px, py) > LEAST:
             out.setdefault(a, []).append((b, s))
     return out
 
@@ -313,7 +315,7 @@ def align(sa: list[list[str]], sb: list[list[str]], by_a: dict, by_b: dict, w: d
     """Pairs of sentence numbers."""
     n, m = len(sa), len(sb)
     ia, ib = {x: k for k, x in enumerate({x: 0 for s in sa for x in s})}, {x: k for k, x in enumerate({x: 0 for s in sb for x in s})}
-    wa, wb = (np.array([FIGURE if x[0].isdigit() else w.get((side, x), UNKNOWN) for x in ids]) for side, ids in (("a", ia), ("b", ib)))
+    wa, wb = (np.array([w.get((side, x), w.get(RARE, FIGURE) if x[0].isdigit() else UNKNOWN) for x in ids]) for side, ids in (("a", ia), ("b", ib)))
     ea, eb = _explains(sa, ib.keys(), by_a), _explains(sb, ia.keys(), by_b)
     cov_t, cov_s = _covered(ea, sb, ib, wb), _covered(eb, sa, ia, wa).T
     single = 2 * cov_t * cov_s / (cov_t + cov_s + 1e-9)
