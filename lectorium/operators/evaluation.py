@@ -93,16 +93,23 @@ def per_second(amount: Column, ms: Column, zero: float | None) -> Column:
 
 
 def coverage(sources: DataFrame, targets: DataFrame, key: str, vector: str) -> DataFrame:
-    """Per key the greatest cosine of each source vector with the key's targets: least and mean of them.
+    """Per key the greatest cosine of each source vector with the key's targets, and of each target vector with
+    its sources: least and mean of both.
 
-    Vectors meet only inside their key; targets of a key travel as one array to each of its sources.
+    Vectors meet only inside their key.  They are set to length one before they move, and both maxima come from
+    partial maxima of the same pairs.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    t = targets.select(key, F.col(vector).cast("array<double>").alias("_t"))
-    s = sources.select(key, "item", F.col(vector).cast("array<double>").alias("_s"))
-    best = s.join(t, key).groupBy(key, "item").agg(F.max(dot(F.col("_s"), F.col("_t")) / (norm(F.col("_s")) * norm(F.col("_t")))).alias("best"))
-    return best.groupBy(key).agg(F.round(F.min("best"), 6).alias("least"), F.round(F.avg("best"), 6).alias("mean"))
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    side = lambda d, name: d.select(key, F.col("item").alias(f"_{name}i"), unit(F.col(vector).cast("array<double>")).alias(f"_{name}"))
+    dot = F.aggregate(F.zip_with("_s", "_t", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = side(sources, "s").join(side(targets, "t"), key).select(key, "_si", "_ti", dot.alias("_d"))
+    both = pairs.select(key, F.inline(F.array(F.struct(F.lit(True).alias("_src"), F.col("_si").alias("_i"), "_d"), F.struct(F.lit(False).alias("_src"), F.col("_ti").alias("_i"), "_d"))))
+    best = both.groupBy(key, "_src", "_i").agg(F.max("_d").alias("best"))
+    of = lambda src: F.when(F.col("_src") == src, F.col("best"))
+    return best.groupBy(key).agg(
+        F.round(F.min(of(True)), 6).alias("least"), F.round(F.avg(of(True)), 6).alias("mean"),
+        F.round(F.min(of(False)), 6).alias("target_least"), F.round(F.avg(of(False)), 6).alias("target_mean"),
+    )
 
 
 def review_merge(fresh: DataFrame, saved: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectorium.functions.text import normal_block_text
 from lectorium.operators.versions import latest
+from lectorium.session import stored
 
 
 def prefer_filled(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -34,41 +35,67 @@ def coalesced_updates(updates: DataFrame, keys: Sequence[str], seq: str) -> Data
     return latest(updates, list(keys), [seq])
 
 
+#: Signs of a text by whose digest containment across pages is looked for, and the distance of near boxes.
+ANCHOR, NEAR = 16, 12
+SCORE_LEAST = 6
+
+
+def _within(o: DataFrame, n: DataFrame, doc: str, inner: str, outer: str) -> DataFrame:
+    """Ids of blocks of different pages of which the inner's text stands inside the outer's.
+
+    The first signs of the inner text are looked up among all stretches of that length of the outer texts, so
+    no document is paired with itself; only lengths that occur are opened."""
+    size = F.least(F.length(f"{inner}_norm"), F.lit(ANCHOR))
+    i = (o if inner == "o" else n).where(F.length(f"{inner}_norm") > 0).withColumn("_len", size).withColumn("_key", F.xxhash64(F.substring(f"{inner}_norm", 1, ANCHOR)))
+    lengths = i.select(doc, "_len").distinct()
+    u = (n if inner == "o" else o).join(lengths, doc).where(F.length(f"{outer}_norm") >= F.col("_len"))
+    u = u.select("*", F.explode(F.sequence(F.lit(1), F.length(f"{outer}_norm") - F.col("_len") + 1)).alias("_at"))
+    u = u.withColumn("_key", F.xxhash64(F.substring(F.col(f"{outer}_norm"), F.col("_at"), F.col("_len")))).drop("_at").distinct()
+    found = i.join(u, [doc, "_len", "_key"]).where(F.contains(F.col(f"{outer}_norm"), F.col(f"{inner}_norm")) & (F.col("o_page") != F.col("n_page")) & (F.col("o_norm") != F.col("n_norm")))
+    return found.select(doc, "o_id", "n_id").distinct()
+
+
 def pair_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
     """Candidate pairs of old and new blocks of a document and their score.
 
-    type 2, page 2, equal text 8, else one text within the other 4, section 1, near box 3.  Pairs are made
-    on (document, page) and on (document, text), never of a whole document with itself.
+    type 2, page 2, equal text 8, else one text within the other 4, same section 1, near box on one page 3; texts
+    are compared in their normal form, and empty texts and sections are equal to none.  old, new: id, kind, page,
+    text, section, box_page, x, y.  Pairs are those that can reach ``SCORE_LEAST`` or share a page: on (document,
+    page), on (document, box page), on (document, text), and on containment through digests of first signs.
     """
-    cols = ["id", "kind", "page", "text", "section", "x", "y"]
-    o = old.select(doc, *[F.col(c).alias(f"o_{c}") for c in cols])
-    n = new.select(doc, *[F.col(c).alias(f"n_{c}") for c in cols])
-    on_page = o.join(n, (o[doc] == n[doc]) & (F.col("o_page") == F.col("n_page"))).drop(n[doc])
-    on_text = o.join(n, (o[doc] == n[doc]) & (F.col("o_text") == F.col("n_text")) & (F.col("o_page") != F.col("n_page"))).drop(n[doc])
-    d = on_page.unionByName(on_text)
-    text = F.when(F.col("o_text") == F.col("n_text"), 8).when(F.col("o_text").contains(F.col("n_text")) | F.col("n_text").contains(F.col("o_text")), 4).otherwise(0)
-    part = lambda c, w: F.when(F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), w).otherwise(0)
-    near = F.when((F.abs(F.col("o_x") - F.col("n_x")) < 24) & (F.abs(F.col("o_y") - F.col("n_y")) < 24), 3).otherwise(0)
-    score = part("kind", 2) + part("page", 2) + text + part("section", 1) + near
-    return d.select(doc, "o_id", "n_id", score.cast("int").alias("score"))
-
-
-def reconciled(pairs: DataFrame, doc: str, least: int = 6) -> DataFrame:
-    """Greedy one-to-one matching per document, best score first, ties by (old, new) id."""
-    kinds = dict(pairs.dtypes)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f[f.score >= least].sort_values(["score", "o_id", "n_id"], ascending=[False, True, True])
-        seen_o, seen_n, keep = set(), set(), []
-        for r in f.itertuples(index=False):
-            o, n = r.o_id, r.n_id
-            if o not in seen_o and n not in seen_n:
-                seen_o.add(o)
-                seen_n.add(n)
-                keep.append((getattr(r, doc), o, n, r.score))
-        return pd.DataFrame(keep, columns=[doc, "o_id", "n_id", "score"])
-
-    return pairs.groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, o_id {kinds['o_id']}, n_id {kinds['n_id']}, score int")
+    cols = ["id", "kind", "page", "section", "box_page", "x", "y"]
+    side = lambda d, p: d.select(doc, *[F.col(c).alias(f"{p}_{c}") for c in cols], F.coalesce(normal_block_text(F.col("text")), F.lit("")).alias(f"{p}_norm"))
+    o, n = side(old, "o"), side(new, "n")
+    meet = lambda a, b: o.withColumn("_k", F.col(a)).join(n.withColumn("_k", F.col(b)), [doc, "_k"])
+    ids = [doc, "o_id", "n_id"]
+    pairs = meet("o_page", "n_page").select(ids)
+    pairs = pairs.unionByName(meet("o_box_page", "n_box_page").where("o_page <> n_page AND abs(o_x - n_x) < 12 AND abs(o_y - n_y) < 12").select(ids))
+    pairs = pairs.unionByName(meet("o_norm", "n_norm").where("o_norm <> '' AND o_page <> n_page").select(ids))
+    pairs = pairs.unionByName(_within(o, n, doc, "o", "n")).unionByName(_within(o, n, doc, "n", "o")).distinct()
+    d = pairs.join(o, [doc, "o_id"]).join(n, [doc, "n_id"])
+    a, b = F.col("o_norm"), F.col("n_norm")
+    text = F.when((a == "") | (b == ""), 0).when(a == b, 8).when(F.contains(a, b) | F.contains(b, a), 4).otherwise(0)
+    same = lambda c, w: F.when(F.col(f"o_{c}") == F.col(f"n_{c}"), w).otherwise(0)
+    section = F.when((F.col("o_section") != "") & (F.col("o_section") == F.col("n_section")), 1).otherwise(0)
+    near = F.when((F.col("o_box_page") == F.col("n_box_page")) & (F.abs(F.col("o_x") - F.col("n_x")) < NEAR) & (F.abs(F.col("o_y") - F.col("n_y")) < NEAR), 3).otherwise(0)
+    return d.select(*ids, (same("kind", 2) + same("page", 2) + text + section + near).cast("int").alias("score"))
+
+
+def reconciled(pairs: DataFrame, doc: str, least: int = SCORE_LEAST) -> DataFrame:
+    """Greedy one-to-one matching per document, best score first, ties by (old, new) id.
+
+    A pair that is the best of both its blocks is what the greedy order takes; such pairs are taken at once,
+    what shares a block with them leaves, until none is left.  No task holds a document, and every round at
+    least the best pair of each document goes."""
+    left = stored(pairs.where(F.col("score") >= least).select(doc, "o_id", "n_id", "score"))
+    done = None
+    while left.take(1):
+        order = F.struct((-F.col("score")).alias("s"), "o_id", "n_id")
+        best = lambda c: left.groupBy(doc, c).agg(F.min(order).alias("_b")).select(doc, F.col("_b.o_id").alias("o_id"), F.col("_b.n_id").alias("n_id"), (-F.col("_b.s")).alias("score"))
+        taken = stored(best("o_id").join(best("n_id"), [doc, "o_id", "n_id", "score"], "left_semi"))
+        done = taken if done is None else done.unionByName(taken)
+        left = stored(left.join(taken.select(doc, "o_id"), [doc, "o_id"], "left_anti").join(taken.select(doc, "n_id"), [doc, "n_id"], "left_anti").select(doc, "o_id", "n_id", "score"))
+    return left if done is None else done
 
 
 def remapped(df: DataFrame, matches: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -115,32 +115,31 @@ def _(spark, root):
 
 @query("cit_04_resolved")
 def _(spark, root):
-    b = blocks(spark, root, "text").where("text IS NOT NULL")
-    return R.resolved(b, R.unique_references(b, "paper_id", "block_id"), "paper_id").where("size(keys) > 0").select("paper_id", "block_id", F.concat_ws(",", F.transform("keys", lambda x: x.cast("string"))).alias("keys"), "target")
+    b = blocks(spark, root, "block_role", "text").where("text IS NOT NULL")
+    return R.resolved(b, R.unique_references(b, "paper_id", "block_id", "block_role"), "paper_id").where("size(keys) > 0").select("paper_id", "block_id", F.concat_ws(",", F.transform("keys", lambda x: x.cast("string"))).alias("keys"), "target")
 
 
 @query("cit_05_links")
 def _(spark, root):
     d = table(spark, root, "documents", "doc_id", "text").where("text IS NOT NULL")
-    d = d.withColumn("text", F.concat("text", F.lit(" See https://a.example/x. and 10.1234/ab.c")))
-    return d.select("doc_id", F.explode(R.links(F.col("text"))).alias("href"))
+    d = d.withColumn("text", F.concat("text", F.lit(" See https://a.example/x,y. and 10.1234/ab.c")))
+    return d.select("doc_id", F.inline(R.links_column(F.col("text"))))
 
 
-@query("cit_06_linked", "SELECT l_orderkey k, l_linenumber n, 'see [[' || l_linenumber || ']](#b' || l_linenumber || ') and [9]' AS text FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_linenumber, 'see [' || l_linenumber || '] and [9]' FROM lineitem WHERE l_linenumber > 2")
+@query("cit_06_linked", "SELECT l_orderkey k, l_linenumber n, 'see [' || l_linenumber || ']' || CASE WHEN l_linenumber <= 2 THEN '(#b' || l_linenumber || ')' ELSE '' END || ' and [9], [1](#x)' AS text FROM lineitem")
 def _(spark, root):
     d = table(spark, root, "lineitem", "l_orderkey", "l_linenumber")
-    t = F.concat(F.lit("see ["), F.col("l_linenumber").cast("string"), F.lit("] and [9]"))
+    t = F.concat(F.lit("see ["), F.col("l_linenumber").cast("string"), F.lit("] and [9], [1](#x)"))
     m = F.create_map(F.lit("1"), F.lit("b1"), F.lit("2"), F.lit("b2"))
     return d.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), R.linked(t, m).alias("text"))
 
 
 @query("ann_04_changed")
 def _(spark, root):
-    a = notes(spark, root, "paper_id", "block_id", "start_offset", "selected_text", "status")
-    d = a.join(blocks(spark, root, "text"), ["paper_id", "block_id"], "left")
-    r = R.reanchor_column(F.col("selected_text"), F.col("start_offset"), F.lit(""), F.lit(""), F.col("text"))
-    d = d.withColumn("r", r).where((F.col("r.start") != F.col("start_offset")) | ((F.col("r.status") == "orphaned") != (F.col("status") == "orphaned")))
-    return d.select("id", F.col("r.start").alias("start_offset"), F.col("r.status").alias("status"))
+    from lectorium.plans.text import reanchored
+
+    d = reanchored(spark, root).where((F.col("r.start") != F.col("start_offset")) | ((F.col("r.status") == "orphaned") != (F.col("status") == "orphaned")))
+    return d.select("id", F.col("r.start").alias("start_offset"), (F.col("r.start") + F.length("selected_text")).alias("end_offset"), F.col("r.status").alias("status"))
 
 
 @query("prt_02_spans")

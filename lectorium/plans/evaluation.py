@@ -141,8 +141,9 @@ def _(spark, root):
 
 @query(
     "aud_09_coverage",
-    "WITH s AS (SELECT vec_id item, label AS k, embedding v FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT label AS k, embedding v FROM embeddings WHERE vec_id % 2 = 1), "
-    "b AS (SELECT s.k, item, max(list_cosine_similarity(s.v::DOUBLE[], t.v::DOUBLE[])) best FROM s JOIN t ON s.k = t.k GROUP BY 1, 2) SELECT k AS label, round(min(best), 6) least, round(avg(best), 6) mean FROM b GROUP BY 1",
+    "WITH s AS (SELECT vec_id item, label AS k, embedding v FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id item, label AS k, embedding v FROM embeddings WHERE vec_id % 2 = 1), "
+    "p AS (SELECT s.k, s.item si, t.item ti, list_cosine_similarity(s.v::DOUBLE[], t.v::DOUBLE[]) c FROM s JOIN t ON s.k = t.k), b AS (SELECT k, si, max(c) best FROM p GROUP BY 1, 2), g AS (SELECT k, ti, max(c) best FROM p GROUP BY 1, 2) "
+    "SELECT label, least, mean, target_least, target_mean FROM (SELECT k AS label, round(min(best), 6) least, round(avg(best), 6) mean FROM b GROUP BY 1) JOIN (SELECT k AS label, round(min(best), 6) target_least, round(avg(best), 6) target_mean FROM g GROUP BY 1) USING (label)",
 )
 def _(spark, root):
     e = table(spark, root, "embeddings", "vec_id", "label", "embedding").withColumnRenamed("vec_id", "item")

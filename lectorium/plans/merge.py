@@ -14,6 +14,7 @@ _TWO = (
     "WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, block_id ORDER BY updated_at, coalesce(text, '')) k FROM layout_blocks) WHERE k = 1), "
     "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, block_id ORDER BY updated_at DESC, coalesce(text, '') DESC) k FROM layout_blocks) WHERE k = 1) "
 )
+_NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
 @query(
@@ -46,21 +47,21 @@ def _(spark, root):
 
 def _snapshots(spark, root):
     b = table(spark, root, "layout_blocks", "paper_id", "block_id", "block_role", "page_start", "text", "column_side", "bbox", "updated_at")
-    s = F.struct("block_role", "page_start", "text", "column_side", F.col("bbox.x_left").alias("x"), F.col("bbox.y_top").alias("y"))
+    s = F.struct("block_role", "page_start", "text", "column_side", F.col("bbox.page").alias("box_page"), F.col("bbox.x_left").alias("x"), F.col("bbox.y_top").alias("y"))
     g = b.groupBy("paper_id", "block_id").agg(F.min_by(s, F.struct("updated_at", F.coalesce("text", F.lit("")))).alias("f"), F.max_by(s, F.struct("updated_at", F.coalesce("text", F.lit("")))).alias("l"))
-    pick = lambda c, p: g.select("paper_id", F.concat(F.lit(p), "block_id").alias("id"), F.col(f"{c}.block_role").alias("kind"), F.col(f"{c}.page_start").alias("page"), F.col(f"{c}.text").alias("text"), F.col(f"{c}.column_side").alias("section"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y"))
+    pick = lambda c, p: g.select("paper_id", F.concat(F.lit(p), "block_id").alias("id"), F.col(f"{c}.block_role").alias("kind"), F.col(f"{c}.page_start").alias("page"), F.col(f"{c}.text").alias("text"), F.col(f"{c}.column_side").alias("section"), F.col(f"{c}.box_page").alias("box_page"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y"))
     return pick("f", ""), pick("l", "n-")
 
 
 @query(
     "rec_01_pair_scores",
-    _TWO + ", p AS (SELECT f.paper_id, f.block_id o_id, 'n-' || l.block_id n_id, (CASE WHEN f.block_role = l.block_role THEN 2 ELSE 0 END + CASE WHEN f.page_start = l.page_start THEN 2 ELSE 0 END "
-    "+ CASE WHEN f.text = l.text THEN 8 WHEN contains(f.text, l.text) OR contains(l.text, f.text) THEN 4 ELSE 0 END + CASE WHEN f.column_side = l.column_side THEN 1 ELSE 0 END "
-    "+ CASE WHEN abs(f.bbox.x_left - l.bbox.x_left) < 24 AND abs(f.bbox.y_top - l.bbox.y_top) < 24 THEN 3 ELSE 0 END)::INT score FROM f JOIN l ON f.paper_id = l.paper_id AND (f.page_start = l.page_start OR f.text = l.text)) "
-    "SELECT score, count(*) n, count(DISTINCT o_id) n_old FROM p GROUP BY 1",
+    _TWO + ", o AS (SELECT *, coalesce(" + _NORM + ", '') t FROM f), n AS (SELECT *, coalesce(" + _NORM + ", '') t FROM l), p AS (SELECT o.paper_id, o.block_id o_id, (o.page_start = n.page_start) same_page, (CASE WHEN o.block_role = n.block_role THEN 2 ELSE 0 END + CASE WHEN o.page_start = n.page_start THEN 2 ELSE 0 END "
+    "+ CASE WHEN o.t = '' OR n.t = '' THEN 0 WHEN o.t = n.t THEN 8 WHEN contains(o.t, n.t) OR contains(n.t, o.t) THEN 4 ELSE 0 END + CASE WHEN o.column_side <> '' AND o.column_side = n.column_side THEN 1 ELSE 0 END "
+    "+ CASE WHEN o.bbox.page = n.bbox.page AND abs(o.bbox.x_left - n.bbox.x_left) < 12 AND abs(o.bbox.y_top - n.bbox.y_top) < 12 THEN 3 ELSE 0 END)::INT score FROM o JOIN n ON o.paper_id = n.paper_id), q AS (SELECT * FROM p WHERE score >= 6) "
+    "SELECT score, count(*) n, count(DISTINCT o_id) n_old FROM q GROUP BY 1",
 )
 def _(spark, root):
-    p = M.pair_scores(*_snapshots(spark, root), "paper_id")
+    p = M.pair_scores(*_snapshots(spark, root), "paper_id").where(F.col("score") >= M.SCORE_LEAST)
     return p.groupBy("score").agg(F.count("*").alias("n"), F.countDistinct("o_id").alias("n_old"))
 
 

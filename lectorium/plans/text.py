@@ -16,9 +16,9 @@ def docs(spark, root, *cols):
     return table(spark, root, "documents", "doc_id", "text", *cols).where("text IS NOT NULL")
 
 
-@query("fn_normal_text", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) h FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("fn_normal_text", f"SELECT doc_id, md5(lower(trim(regexp_replace(text, '{T.SPACES}+', ' ', 'g')))) h FROM documents WHERE text IS NOT NULL".replace("\\u000B", "\\x0B"))
 def _(spark, root):
-    return docs(spark, root).where(~F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", F.md5(T.normal_block_text(F.col("text"))).alias("h"))
+    return docs(spark, root).select("doc_id", F.md5(T.normal_block_text(F.col("text"))).alias("h"))
 
 
 @query("fn_sha256", "SELECT task_id, sha256(text) h FROM translation_tasks WHERE text IS NOT NULL")
@@ -32,11 +32,12 @@ def _(spark, root):
     return b.select("paper_id", "block_id", T.block_id(F.col("block_role"), F.col("page_start"), F.col("text"), F.col("bbox.x_left"), F.col("bbox.y_top"), F.col("bbox.width"), F.col("bbox.height")).alias("stable_id"), T.djb2_column(F.col("text")).alias("anchor"))
 
 
-@query("fn_half_width", "SELECT cache_id, translate(translated_text, '０１２３４５６７８９（）％＝', '0123456789()%=') AS text FROM translation_cache WHERE NOT regexp_matches(translated_text, '[！-＇＊-／：-＜＞-～　]')")
+_WIDE, _PLAIN = (("".join(map(chr, range(x, x + 94))) + y).replace("'", "''") for x, y in ((0xFF01, "\u3000"), (0x21, " ")))
+
+
+@query("fn_half_width", f"SELECT cache_id, translate(translated_text, '{_WIDE}', '{_PLAIN}') AS text FROM translation_cache")
 def _(spark, root):
-    c = table(spark, root, "translation_cache", "cache_id", "translated_text").where(~F.col("translated_text").rlike("[！-＇＊-／：-＜＞-～　]") | F.col("translated_text").rlike("^$"))
-    c = c.where(~F.col("translated_text").rlike("[！-＄＆＇＊-／：-＜＞-～　]"))
-    return c.select("cache_id", T.half_width(F.col("translated_text")).alias("text"))
+    return table(spark, root, "translation_cache", "cache_id", "translated_text").select("cache_id", T.half_width(F.col("translated_text")).alias("text"))
 
 
 @query("lng_01_script_share", "SELECT doc_id, round(CASE WHEN length(s) > 0 THEN 1 - length(regexp_replace(s, '[ぁ-ヿ一-鿿]', '', 'g')) / length(s) ELSE 0 END, 6)::DOUBLE share FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') s FROM documents WHERE text IS NOT NULL)")
@@ -57,12 +58,12 @@ def _(spark, root):
 
 @query(
     "qlt_01_counts",
-    "SELECT doc_id, len(regexp_extract_all(text, '\\b(?:1[5-9][0-9]{2}|20[0-9]{2})\\b')) AS n_years, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%')) AS n_percents, len(regexp_extract_all(text, '\\bp < \\.?[0-9.]+')) AS p_values FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')",
+    "SELECT doc_id, len(regexp_extract_all(text, '\\b(?:1[5-9][0-9]{2}|20[0-9]{2})\\b')) AS n_years, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%')) AS n_percents, len(regexp_extract_all(text, '\\bp < \\.?[0-9.]+')) AS p_values FROM documents WHERE text IS NOT NULL",
 )
 def _(spark, root):
-    d = docs(spark, root).where(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    d = docs(spark, root)
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0)).cast("long")
-    return d.select("doc_id", n(r"\b(?:1[5-9][0-9]{2}|20[0-9]{2})\b").alias("n_years"), n(r"[0-9]+(?:\.[0-9]+)?%").alias("n_percents"), n(r"\bp < \.?[0-9.]+").alias("p_values"))
+    return d.select("doc_id", n(r"(?<![0-9A-Za-z_])(?:1[5-9][0-9]{2}|20[0-9]{2})(?![0-9A-Za-z_])").alias("n_years"), n(r"[0-9]+(?:\.[0-9]+)?%").alias("n_percents"), n(r"(?<![0-9A-Za-z_])p < \.?[0-9.]+").alias("p_values"))
 
 
 @query("qlt_01_invariants")
@@ -89,20 +90,20 @@ def _(spark, root):
 
 @query(
     "cit_01_keys",
-    "WITH t AS (SELECT l_orderkey k, 'see [' || (l_linenumber) || '] and [' || l_linenumber || '-' || (l_linenumber + 2) || ', ' || (l_quantity::INT) || ']' AS text, l_linenumber a, l_quantity::INT q FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 7 < 100) "
+    "WITH t AS (SELECT l_orderkey k, 'see [' || (l_linenumber) || '] and [' || l_linenumber || '-' || (l_linenumber + 2) || ', ' || (l_quantity::INT) || ']' AS text, l_linenumber a, l_quantity::INT q FROM lineitem) "
     "SELECT k, a, list_sort(list_distinct([a, a + 1, a + 2, q]))::VARCHAR AS keys FROM t",
 )
 def _(spark, root):
-    d = table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_linenumber <= 3")
+    d = table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     a = F.col("l_linenumber").cast("string")
     t = F.concat(F.lit("see ["), a, F.lit("] and ["), a, F.lit("-"), (F.col("l_linenumber") + 2).cast("string"), F.lit(", "), F.col("l_quantity").cast("int").cast("string"), F.lit("]"))
     keys = F.array_sort(C.citation_keys(t))
     return d.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("a"), F.concat(F.lit("["), F.array_join(F.transform(keys, lambda x: x.cast("string")), ", "), F.lit("]")).alias("keys"))
 
 
-@query("cit_03_unique_references", _BLK + ", r AS (SELECT paper_id, block_id, regexp_extract(text, '^\\[?(\\d+)(\\]|\\. [A-Z])', 1) num FROM blk) SELECT paper_id, num, min(block_id) target FROM r WHERE num <> '' GROUP BY 1, 2 HAVING count(*) = 1")
+@query("cit_03_unique_references", _BLK + ", r AS (SELECT paper_id, block_id, regexp_extract(trim(text), '^(\\[[0-9]+\\]|[0-9]+\\.\\s+[A-Z])') head FROM blk WHERE block_role IN ('reference', 'paragraph')) SELECT paper_id, regexp_extract(head, '[0-9]+') num, min(block_id) target FROM r WHERE head <> '' GROUP BY 1, 2 HAVING count(*) = 1")
 def _(spark, root):
-    return C.unique_references(blocks(spark, root, "text"), "paper_id", "block_id")
+    return C.unique_references(blocks(spark, root, "block_role", "text"), "paper_id", "block_id", "block_role")
 
 
 @query("glo_01_applied")
@@ -111,7 +112,7 @@ def _(spark, root):
     if len(g) > 5000:
         raise ValueError("the glossary is a bounded table")
     entries = tuple({r.term: r.translation for r in g}.items())
-    t = table(spark, root, "translation_tasks", "task_id", "text", "source_language").where("source_language = 'en'")
+    t = table(spark, root, "translation_tasks", "task_id", "text")
     return t.select("task_id", C.glossary_column(F.col("text"), entries).alias("text"))
 
 
@@ -133,12 +134,24 @@ def _(spark, root):
     return d.select("id", F.substring(F.col("text"), lo + 1, F.col("start_offset") - lo).alias("prefix"), F.substring(F.col("text"), F.col("end_offset") + 1, F.lit(60)).alias("suffix"))
 
 
+def reanchored(spark, root):
+    """Annotations with their place in the latest text of their block (``r``); the context, 60 signs on each side,
+    and the test whether the text changed come from the block's first delivery."""
+    d = table(spark, root, "layout_blocks", "paper_id", "block_id", "text", "updated_at")
+    key = F.struct("updated_at", F.coalesce("text", F.lit("")))
+    both = d.groupBy("paper_id", "block_id").agg(F.min_by("text", key).alias("first_text"), F.max_by("text", key).alias("text"))
+    a = notes(spark, root, "paper_id", "block_id", "start_offset", "end_offset", "selected_text", "status")
+    j = a.join(both, ["paper_id", "block_id"], "left")
+    lo = F.greatest(F.col("start_offset") - 60, F.lit(0))
+    before = F.substring(F.col("first_text"), lo + 1, F.col("start_offset") - lo)
+    behind = F.substring(F.col("first_text"), F.col("end_offset") + 1, F.lit(60))
+    same = F.sha2("first_text", 256) == F.sha2("text", 256)
+    return j.withColumn("r", C.reanchor_column(F.col("selected_text"), F.col("start_offset"), before, behind, F.col("text"), same))
+
+
 @query("ann_02_reanchored")
 def _(spark, root):
-    a = notes(spark, root, "paper_id", "block_id", "start_offset", "selected_text")
-    d = a.join(blocks(spark, root, "text"), ["paper_id", "block_id"], "left")
-    r = C.reanchor_column(F.col("selected_text"), F.col("start_offset"), F.lit(""), F.lit(""), F.col("text"))
-    return d.select("id", r.alias("r")).select("id", "r.start", "r.status")
+    return reanchored(spark, root).select("id", "r.start", "r.status")
 
 
 @query("ann_03_offsets", _ANN.join(["WITH ", ""]) + "SELECT a.id, (substring(text, start_offset + 1, end_offset - start_offset) = selected_text) holds FROM ann a JOIN (" + _BLK + "SELECT * FROM blk WHERE text IS NOT NULL) b USING (paper_id, block_id)")

@@ -173,19 +173,27 @@ def header_fields(xml: Column) -> list[Column]:
 
 
 def staged_write(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Write beside the target, read back and count, then swap by rename; the old snapshot stays as ``.bak``
-    until the new one stands."""
+    """Write beside the target, read back and count, then swap by two renames.
+
+    The old snapshot stands as ``.bak`` until the new one is in place; if a rename fails, it is put back and an
+    error is raised, so there always is a whole snapshot under one of both names.  A run that finds a ``.bak`` and
+    no target takes the ``.bak`` for the target first.  Between the two renames readers see no table."""
     spark = df.sparkSession
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition) if partition else w).parquet(path + ".tmp")
-    spark.read.parquet(path + ".tmp").count()
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     p = lambda s: jvm.org.apache.hadoop.fs.Path(path + s)
+    if fs.exists(p(".bak")) and not fs.exists(p("")) and not fs.rename(p(".bak"), p("")):
+        raise OSError(f"the snapshot {path}.bak could not be put back")
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition) if partition else w).parquet(path + ".tmp")
+    spark.read.parquet(path + ".tmp").count()
     fs.delete(p(".bak"), True)
-    if fs.exists(p("")):
-        fs.rename(p(""), p(".bak"))
-    fs.rename(p(".tmp"), p(""))
+    if fs.exists(p("")) and not fs.rename(p(""), p(".bak")):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(p(".tmp"), p("")):
+        if fs.exists(p(".bak")) and not fs.rename(p(".bak"), p("")):
+            raise OSError(f"{path} is kept as {path}.bak: neither the new nor the old snapshot could be put in place")
+        raise OSError(f"the new snapshot of {path} could not be put in place")
     fs.delete(p(".bak"), True)
 
 

@@ -85,6 +85,44 @@ def test_reanchor():
     assert C.reanchored("", 7, "", "", None) == (7, "orphaned")
 
 
+    assert C.reanchored("ab", 7, "", "", "xab", unchanged=True) == (7, "active")
+    assert C.reanchored("ab", 0, "z", "q", "zabx yabq abq") == (1, "active")
+
+
+def test_citation_groups_links_and_roles(spark):
+    assert C.citation_groups("a [1, 3–5] b [9-40] [x] [2") == [(2, 10, [1, 3, 4, 5])]
+    assert C.links('see <https://a.de/x,y.> and doi: 10.1234/AB-c. or https://doi.org/10.5555/z,') == [
+        (5, 21, "https://a.de/x,y"), (28, 45, "https://doi.org/10.1234/AB-c"), (50, 75, "https://doi.org/10.5555/z"),
+    ]
+    d = spark.createDataFrame([("d", "a", "heading", "1. Intro"), ("d", "b", "reference", "[1] Lee"), ("d", "c", "paragraph", "2. Kim"), ("d", "e", "reference", "[2] Ito"), ("d", "f", "list", None)], "doc string, id string, role string, text string")
+    assert [tuple(r) for r in C.unique_references(d, "doc", "id", "role").collect()] == [("d", "1", "b")]
+    m = F.create_map(F.lit("1"), F.lit("a$1\\b"))
+    assert spark.range(1).select(C.linked(F.lit("x [1], [2], [1](#y)"), m)).first()[0] == "x [1](#a$1\\b), [2], [1](#y)"
+
+
+def test_facts_with_overlaid_signs_and_sides():
+    kinds = lambda t: {(k, v) for k, v, _ in X.invariants(t)}
+    assert ("statistic", "n \u0338= 5") in kinds("with n \u0338= 5 here") and X.kept("n ≠ 5", "statistic", "n \u0338= 5")
+    assert {("statistic", "F(2, 31) = 4.2"), ("measurement", "5 mm"), ("acronym", "Mann-Whitney"), ("url", "https://a.b/c")} <= kinds("F(2, 31) = 4.2, 5 mm, Mann-Whitney, https://a.b/c 。")
+    assert ("year", "2019") in kinds("2019年") and not kinds("part 3x, 5mmx and plain words") - {("number", "5")}
+    assert ("figure", "figs. 3(b)") in kinds("see figs. 3(b)") and ("citation", "12") in kinds("said “so”12 (p. 3)")
+
+
+def test_every_span_is_shielded():
+    s = " ".join(f"so [{k}] it was." for k in range(120))
+    hidden, kept, nonce = G.shielded(s)
+    assert len(kept) == 120 and "[" not in hidden and G.restored(hidden, kept, nonce) == s
+    assert G.restored("x 【Ｚ０Ｑ ０】 y。", ["[1]", "[2]"], "Z0Q") == "x [1] y [2]。"
+    full = " ".join(f"Z{k}Q" for k in range(G.NONCES)) + " [1]"
+    assert G.shielded(full) == (full, [], "") and G.restored(full, [], "") == full
+
+
+def test_glossary_reads_once():
+    g = (("a", "x"), ("working memory", "作業記憶"), ("memory test", "記憶検査"), ("recall", "working memory"))
+    assert C.with_glossary("working memory test, recall; (recall", g) == "作業記憶 test, working memory; (recall"
+    assert C.with_glossary("", g) == ""
+
+
 def test_highlight_segments(spark):
     d = spark.createDataFrame([(1, "a", 0, 4, 10), (1, "b", 2, 20, 10), (1, "c", 5, 5, 10)], "k int, id string, start int, stop int, n int")
     got = sorted((r.seg_start, r.seg_end, tuple(r.ids)) for r in C.highlight_segments(d, ["k"], F.col("n")).collect())
