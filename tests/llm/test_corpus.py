@@ -23,6 +23,38 @@ def test_local_search_empties_a_container():
     assert len(packing.improve([[0, 3], [1, 2], [4]], sizes, 10)) == 2
 
 
+def test_local_search_beats_best_fit():
+    """Containers of three items that fill them to the last token, cut at random: best fit needs more, the search fewer of them."""
+    saved = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        sizes = []
+        for _ in range(40):
+            a = rng.randrange(380, 495)
+            b = rng.randrange(250, 1000 - a - 250 + 1)
+            sizes += [a, b, 1000 - a - b]
+        rng.shuffle(sizes)
+        first = packing.best_fit(sizes, 1000)
+        last = packing.improve([list(b) for b in first], sizes, 1000)
+        assert sorted(i for b in last for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 1000 for b in last)
+        assert len(first) > 40
+        saved += len(first) - len(last)
+    assert saved >= 3
+
+
+def test_emptiest_containers_of_groups_are_packed_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, rng.randrange(5, 60)) for i in range(400)] + [(i, 100) for i in range(400, 410)], "doc_id bigint, tokens int")
+    c = spark.createDataFrame([("a", 100)], "capacity_name string, capacity_tokens int")
+    p = packing.packed(d, c).cache()
+    assert p.count() == 410 and p.groupBy("container_id").agg(F.sum("tokens").alias("t")).where("t > 100").count() == 0
+    least = -(-d.agg(F.sum("tokens")).first()[0] // 100)
+    assert p.select("container_id").distinct().count() <= least + 4
+    alone = spark.createDataFrame([(i, 80) for i in range(100)], "doc_id bigint, tokens int")
+    assert packing.packed(alone, c).select("container_id").distinct().count() == 100
+
+
 def test_packed_frame(spark):
     d = spark.createDataFrame([(i, 40 + i % 90) for i in range(300)] + [(1000, 950), (1001, 0), (1002, None)], "doc_id bigint, tokens int")
     c = spark.createDataFrame([("a", 100), ("b", 256)], "capacity_name string, capacity_tokens int")
