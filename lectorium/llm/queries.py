@@ -77,30 +77,38 @@ def blocks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 def p3_values(spark: SparkSession, root: str) -> DataFrame:
     """Every value with its log-odds; blocks carry the start of the paragraph behind them."""
-    from lectorium.llm.truncation import cut_values
+    return _p3(spark, root).drop("source")
+
+
+def _p3(spark: SparkSession, root: str) -> DataFrame:
+    from lectorium.llm.truncation import FIT_VALUES, cut_values
 
     b = blocks(spark, root, "block_order", "block_role", "producer", "text")
     b = b.withColumn("start", F.when(F.col("block_role").isin("paragraph", "footnote"), F.substring("text", 1, 60)))
     b = with_next(b, ["paper_id"], "block_order", "block_id", ["start"]).withColumnRenamed("next_start", "follow")
-    prose = b.where(F.col("text").isNotNull() & ~F.col("block_role").isin("heading", "caption", "list", "reference", "figure"))
+    plain_end = F.col("block_role").isin("heading", "caption", "list", "reference", "figure")
     lang = F.when(F.col("text").rlike(r"[\u3040-\u30ff]"), "ja").when(F.col("text").rlike(r"(?i)\b(der|die|das|und|nicht|wurde)\b"), "de").otherwise("en")
-    a = prose.select(F.lit("layout_blocks").alias("src_table"), F.col("block_id").alias("row_key"), lang.alias("lang"), "text", "follow", F.col("producer").alias("source"))
+    key = F.to_json(F.struct("paper_id", "block_id"))  # a block is known by both
+    a = b.select(F.lit("layout_blocks").alias("src_table"), key.alias("row_key"), lang.alias("lang"), "text", F.when(~plain_end, F.col("follow")).alias("follow"), plain_end.alias("plain_end"), F.col("producer").alias("source"))
     r = results(spark, root, "target_language", "text", "model", "model_version")
-    r = r.select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.col("target_language").alias("lang"), "text", F.lit(None).cast("string").alias("follow"), F.concat_ws(" ", "model", "model_version").alias("source"))
-    return cut_values(a.unionByName(r).where("trim(text) <> ''"))
+    r = r.select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.col("target_language").alias("lang"), "text", F.lit(None).cast("string").alias("follow"), F.lit(False).alias("plain_end"), F.concat_ws(" ", "model", "model_version").alias("source"))
+    v = a.unionByName(r).where("trim(text) <> ''")
+    n = table(spark, root, "layout_blocks").count() + table(spark, root, "translation_results").count()  # from the files' footers
+    return cut_values(v, min(1.0, FIT_VALUES / max(n, 1)))
+
+
+def _p3_block_id(key):
+    return F.when(F.col("src_table") == "layout_blocks", F.get_json_object(key, "$.block_id")).otherwise(F.col(key))
 
 
 def p3_rates(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, cut rows and rate per producer, and per model and version."""
-    cut = p3_found(spark, root)
-    b = blocks(spark, root, "producer", "text").where("trim(text) <> ''").select(F.lit("layout_blocks").alias("src_table"), F.col("block_id").alias("row_key"), F.col("producer").alias("source"))
-    r = results(spark, root, "text", "model", "model_version").where("trim(text) <> ''").select(F.lit("translation_results").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.concat_ws(" ", "model", "model_version").alias("source"))
-    both = b.unionByName(r).join(cut.withColumn("hit", F.lit(1)), ["src_table", "row_key"], "left")
-    return both.groupBy("src_table", "source").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_cut")).withColumn("rate", F.round(F.col("n_cut") / F.col("n_rows"), 6))
+    """Values, cut values and rate per producer, and per model and version: the values that were judged, each once."""
+    v = _p3(spark, root)
+    return v.groupBy("src_table", "source").agg(F.count("*").alias("n_rows"), F.count_if("cut").alias("n_cut")).withColumn("rate", F.round(F.col("n_cut") / F.col("n_rows"), 6))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return p3_values(spark, root).where("cut").select("src_table", "row_key").distinct()
+    return p3_values(spark, root).where("cut").select("src_table", _p3_block_id("row_key").alias("row_key")).distinct()
 
 
 def p4_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectorium.llm import lookalike, repetition, scannoise, truncation
 from lectorium.llm.sentences import sentence_spans, with_sentences
@@ -175,12 +176,25 @@ def test_truncation_contexts_are_position_independent():
     assert truncation.exempt("2.4 結果: 著作権期間") and truncation.exempt("• a;\n• b") and not truncation.exempt("The model explains")
 
 
+BASE = "The committee approved the study of sleep. We thank A. Lee for comments on sleep. It remains open whether sleep causes rest or merely follows it."
+VALUES = "src_table string, row_key string, lang string, text string, follow string, plain_end boolean, source string"
+
+
 def test_truncation_end_to_end(spark, rows):
-    base = ["The committee approved the study of sleep. We thank A. Lee for comments on sleep. It remains open whether sleep causes rest or merely follows it."] * 8
-    vals = [("t", str(i), "en", x, None) for i, x in enumerate(base)]
-    vals += [("t", "cut", "en", base[0] + " The committee appro", None), ("t", "bare", "en", base[0] + " We thank A. Lee for comments on sleep", None), ("t", "on", "en", "The committee approved the", "study of sleep. We thank."), ("t", "h", "en", "3.1 Results", None)]
-    d = spark.createDataFrame(vals, "src_table string, row_key string, lang string, text string, follow string")
-    assert rows(truncation.cut_values(d).where("cut"), "row_key") == [("cut",)]
+    vals = [("t", str(i), "en", BASE, None, False, "m") for i in range(8)]
+    vals += [("t", k, "en", x, y, False, "m") for k, x, y in (("cut", BASE + " The committee appro", None), ("bare", BASE + " We thank A. Lee for comments on sleep", None), ("on", "The committee approved the", "study of sleep. We thank."), ("h", "3.1 Results", None))]
+    vals += [("t", k, "en", x, None, True, "m") for k, x in (("head", "Committee of sleep"), ("head cut", "Comments of the commit"), ("list", "• sleep;\n• rest"))]
+    d = spark.createDataFrame(vals, VALUES)
+    assert rows(truncation.cut_values(d).where("cut"), "row_key") == [("cut",), ("head cut",)]
+    assert truncation.cut_values(d.limit(0)).count() == 0
+
+
+def test_thresholds_are_fitted_by_column_and_language(spark, monkeypatch):
+    """Planted ends far below, own ends far above: the threshold lies between; few values keep the default."""
+    per = [("a", "en", 0, 1.0)] * 150 + [("a", "en", 1, -2.6)] * 150 + [("a", "de", 0, -1.6)] * 150 + [("a", "de", 1, -2.9)] * 150 + [("b", "en", 0, 1.0)] * 5
+    d = spark.createDataFrame([(*x, x[2] == 0, False, False, False, 0) for x in per], "src_table string, lang string, planted int, o double, marked boolean, debris boolean, plain_end boolean, lower_next boolean, joined int")
+    got = truncation.fitted(d, F.col("o"))
+    assert set(got) == {("a", "en"), ("a", "de")} and -2.6 < got["a", "en"] <= 1 and -2.9 < got["a", "de"] <= -1.6
 
 
 def test_skeletons_and_units():
