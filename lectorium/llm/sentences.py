@@ -49,14 +49,15 @@ CONTINUES = set(",;:،؛、，；：-–—‐%")
 _CAND = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}\p{SB=Sep}\n\r“”„«»\"()（）\[\]［］【】〔〕「」『』《》〈〉]")
 _STERM = regex.compile(r"\p{SB=STerm}")
 _TERMS = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}]")
+_ENDED = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}][\s\p{Cf}\p{SB=Close}]*$")
 _SEP = set("\n\r  \x85")
 _SKIP = regex.compile(r"[\s\x1c-\x1f\p{Cf}]*")
 _THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n\r]+(?=\S)")
 _THAI_NEXT = regex.compile("|".join(sorted(THAI_GOES_ON, key=len, reverse=True)))
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.．]*$")
+_IN_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.．]")
 _UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
-_AFTER_CJK = regex.compile(r"^.*[\p{Hiragana}\p{Katakana}\p{Han}ー]")
+_BRACKET = regex.compile("[" + regex.escape("".join(OPEN) + "".join(OPEN.values()) + '"') + "]")
 _DIGIT = regex.compile(r"\p{N}")
 _ORDINAL = regex.compile(r"(?:^|[^\p{N}.])(\p{N}{1,2})$")
 _CASE = {}
@@ -89,6 +90,27 @@ def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "ｦ" <= c <= "ﾟ"
 
 
+def _closed(text: str) -> set[int]:
+    """Places of opening marks that are closed in their line; a closing mark goes with the nearest open one.
+
+    In a text that is cut short, so ends without a mark, the last open one too counts: its end is what is missing."""
+    out: set[int] = set()
+    open_: list[tuple[str, int]] = []
+    for line in regex.finditer(r"[^\n\r\u2028\u2029\x85]+", text):
+        open_ = []
+        for m in _BRACKET.finditer(text, line.start(), line.end()):
+            c, k = m.group(), m.start()
+            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == c), None)
+            if at is not None:
+                out.add(open_[at][1])
+                del open_[at:]
+            elif c in OPEN or c == '"':
+                open_.append((OPEN.get(c, c), k))
+    if open_ and not _ENDED.search(text):
+        out.add(open_[-1][1])
+    return out
+
+
 def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of each sentence, 0-based code points, end without trailing blanks."""
     if not text:
@@ -103,7 +125,8 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             text = flipped
     always, numbered = _set(ABBREVIATIONS, lang), _set(BEFORE_NUMBER, lang)
     starts = [cur]
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool]] = []
+    closed = _closed(text) if _BRACKET.search(text) else ()
     done = 0
 
     def cut(at: int) -> None:
@@ -122,10 +145,8 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             continue
         if k < done:
             continue
-        if stack and k - stack[0][2] > 400:  # an opening mark that nothing closes
-            stack.clear()
         if stack and c == stack[-1][0]:
-            _, at_start, _ = stack.pop()
+            _, at_start = stack.pop()
             if stack:
                 continue
             p = k - 1
@@ -142,11 +163,9 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             if at_start or nxt.isupper() or nxt in OPEN or (q > k + 1 and not _is_cjk(nxt)):
                 cut(k + 1)
             continue
-        if c in OPEN:
-            stack.append((OPEN[c], k == cur, k))
-            continue
-        if c == '"':
-            stack.append(('"', k == cur, k))
+        if c in OPEN or c == '"':
+            if k in closed:
+                stack.append((OPEN.get(c, c), k == cur))
             continue
         if stack or not _TERMS.match(c):
             continue
@@ -184,9 +203,10 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             continue
         if not gap and _DIGIT.match(nxt):
             continue
-        token = _plain(_TOKEN.search(text, max(0, k - 24), k).group())
-        if token and not _is_cjk(token[-1]):  # a foreign word inside Japanese or Chinese
-            token = _AFTER_CJK.sub("", token)
+        p = k  # a foreign word inside Japanese or Chinese begins behind the last sign
+        while p and _IN_TOKEN.match(text[p - 1]) and not _is_cjk(text[p - 1]) and text[p - 1] != "ー":
+            p -= 1
+        token = _plain(text[p:k])
         low = token.lower().strip(".")
         last = low.rpartition(".")[2]
         if low in always or last in always:
