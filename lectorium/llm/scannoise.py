@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectorium.session import stored
+from lectorium.session import small, stored
 
 #: Share of the page height (US letter, 792 units) that is margin above and below the body.
 PAGE_HEIGHT, TOP, BOTTOM = 792.0, 0.0656, 0.942
@@ -29,6 +29,8 @@ RATIO, RATIO_ODD = 20.0, 2.0
 EDGE, EDGE_SHARE = 2, 0.8
 #: A line is off the grid if its distance to the body differs by this part from the median distance of its page's lines.
 OFF_GRID = 0.12
+#: Suspect forms up to which they are broadcast (some 100 bytes each); more meet the words in a shuffle.
+MOST_SUSPECTS = 200_000
 # Glyphs that scans confuse, each class after its first sign.
 CLASSES = ["l1!|iI", "oO0", "s5S", "eEcC", "tT†", "gG9", "bB6", "zZ2", "aA4", "ーー一", "著箸", "はは", "未末", "土士", "人入", "千干", "間問聞", "大太犬", "日目曰", "りリ", "ソン", "シツ", "ロ口", "ニ二", "カ力", "ヘへ", "エ工", "タ夕", "ト卜", "ハ八"]
 # Sign pairs that are read for one sign.
@@ -223,7 +225,8 @@ def analysed(lines: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     near = pairs.groupBy("skel", "before").agg(best.alias("best_here"))
     odd = F.col("form").rlike("\u0002") | F.col("form").rlike(r"[\p{L}].*[0-9†!|]|[0-9†!|].*\p{L}") & ~F.col("form").rlike(r"^[0-9]+\p{L}{0,2}$")
     suspect = forms.join(groups, "skel").where((F.col("form") != F.col("best")) & (F.col("n") * F.when(odd, RATIO_ODD).otherwise(RATIO) <= F.col("n_best")))
-    suspect = suspect.select("skel", "form", "best", "n_best", "n", odd.alias("odd"))
+    # few and rare by their definition: up to MOST_SUSPECTS they go to the words, so frequent words do not move
+    suspect = small(stored(suspect.select("skel", "form", "best", "n_best", "n", odd.alias("odd"))), MOST_SUSPECTS)
     plain = u.where("hyphened IS NULL AND ocr").join(suspect, ["skel", "form"]).join(near, ["skel", "before"], "left")
     misread = plain.where(F.col("odd") | F.col("best_here").isNull() | (F.col("best_here") != F.col("form")) | (F.col("n_best") >= 50 * F.col("n")))
     # a broken word: the joined form against the hyphened one; its wrong sign lies in one of the two lines
