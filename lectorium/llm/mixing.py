@@ -18,17 +18,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_TARGETS = 10_000
+from lectorium.session import small
 
+#: Rows up to which the table of names travels to the documents; a longer one meets them in a shuffle.
+MOST_NAMES = 10_000
+#: Letters by which a name may differ, and the fewest letters of a name that may.
+OFF, OFF_LENGTH = 2, 5
 
-def named(source: Column, targets: list[str]) -> Column:
-    """The target a stored name stands for, or null.  Targets are a short list (checked by the caller)."""
-    plain = F.lower(F.regexp_replace(source, r"[\s_\-.]+", ""))
-    known = {t.lower().strip(): t for t in targets}
-    exact = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[plain] if known else F.lit(None).cast("string")
-    off = F.array(*[F.when((F.levenshtein(plain, F.lit(k)) <= 2) & (F.length(plain) >= 5), F.lit(t)) for k, t in known.items()])
-    off = F.filter(off, lambda x: x.isNotNull())
-    return F.coalesce(exact, F.when(F.size(off) == 1, off[0]))
+
+def _shortened(name: Column) -> Column:
+    """The name and all strings that lack one or two of its letters: two names at most ``OFF`` apart share one."""
+    less = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(name), less(name), F.flatten(F.transform(less(name), less))))
+
+
+def names(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, target: the stored names that stand for a target.  Near names meet by what is left of them when
+    letters are taken out, so no name is held against all targets."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[\s_\-.]+", ""))
+    t = targets.where("source IS NOT NULL").select(F.col("source").alias("target"), F.lower(F.trim("source")).alias("t"))
+    have = documents.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n")).select("source", plain("source").alias("p"))
+    exact = have.join(t, F.col("p") == F.col("t")).groupBy("source").agg(F.min("target").alias("target"))
+    longest = t.agg(F.max(F.length("t"))).first()[0] or 0
+    rest = have.join(exact, "source", "left_anti").where((F.length("p") >= OFF_LENGTH) & (F.length("p") <= longest + OFF))
+    cut = lambda d, c: d.withColumn("k", F.explode(_shortened(F.col(c))))
+    near = cut(rest, "p").join(cut(t, "t"), "k").where(F.levenshtein("p", "t") <= OFF).groupBy("source").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    return exact.unionByName(near.where("n = 1").select("source", "target"))
 
 
 def rates(documents: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -50,15 +65,11 @@ def copies(rate: Column, doc_id: Column, seed: int) -> Column:
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """documents: doc_id, source, tokens.  Gives the selection (a row per copy) and the shares reached."""
-    from lectorium.session import small
-
-    rows = targets.select("source").limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError("the mix is a short list of sources")
-    names = [r[0] for r in rows if r[0] is not None]
-    d = documents.where("tokens > 0").withColumn("source", named(F.col("source"), names)).where("source IS NOT NULL")
+    d = documents.where("tokens > 0")
+    known = small(names(d, targets), MOST_NAMES)
+    d = d.join(known, "source").select("doc_id", F.col("target").alias("source"), "tokens")
     r = rates(d, targets, total)
-    s = d.join(small(r.select("source", "rate"), MOST_TARGETS), "source")
+    s = d.join(small(r.select("source", "rate"), MOST_NAMES), "source")
     s = s.withColumn("n", copies(F.col("rate"), F.col("doc_id"), seed)).where("n > 0")
     chosen = s.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "tokens")
     got = s.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("selected"), F.sum("n").alias("n_copies"))

@@ -88,6 +88,32 @@ def test_mix_meets_shares(spark):
     assert mixing.mixed(d.limit(0), t)[0].count() == 0
 
 
+def test_names_against_all_pairs(spark):
+    rng = random.Random(1)
+    t = ["fulltext", "abstracts", "notes", "reviews", "captions", "notez"]
+    stored = {"Full_Text", "fultext", "notes", "note", "notex", "capions", "caption", "revws", "abstr acts", "x", "", "abs" * 400}
+    stored |= {"".join(c for c in rng.choice(t) if rng.random() > 0.15) + rng.choice(["", "a"]) for _ in range(60)}
+    d = spark.createDataFrame([(s,) for s in stored] + [(None,)], "source string")
+    got = {r.source: r.target for r in mixing.names(d, spark.createDataFrame([(x,) for x in t] + [(None,)], "source string")).collect()}
+
+    def off(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    for s in stored:
+        p = "".join(c for c in s.lower() if c not in " _-.")
+        near = [x for x in t if off(p, x) <= 2] if len(p) >= 5 else []
+        assert got.get(s) == (p if p in t else near[0] if len(near) == 1 else None), s
+
+
 def test_mix_holds_the_cap(spark):
     d = spark.createDataFrame([(1, "a", 100), (2, "b", 1000)], "doc_id bigint, source string, tokens int")
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
