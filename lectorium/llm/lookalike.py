@@ -196,3 +196,19 @@ def same_look_pairs(df, table: str, row_id: str, key: str, text: str):
     b = d.select(F.col("id").alias("id2"), F.col("k").alias("k2"), F.col("form").alias("form2"), F.col("raw").alias("raw2"))
     on = (F.col("k") == F.col("k2")) & (F.col("form") == F.col("form2")) & (F.col("id") < F.col("id2")) & (F.col("raw") != F.col("raw2"))
     return d.join(b, on).select(F.lit(table).alias("src_table"), F.col("id").alias("id_a"), F.col("id2").alias("id_b"))
+
+
+def same_look_classes(df, table: str, row_id: str, key: str, text: str):
+    """Rows of one ``key`` that have one form, as classes: a row each, with the class (least id in it), the rows and
+    the differing texts in it, and its links, the rows of the class whose text differs from its own.
+
+    Classes of one row have no link and come too.  Counts are made by (key, form, text) first, so no class is held
+    together, and a class of a third of all rows is no pair of anything."""
+    from pyspark.sql import functions as F
+
+    d = with_form(df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(row_id, key, text), text)
+    d = d.select(F.col(row_id).alias("row_id"), F.col(key).cast("string").alias("k"), F.md5("form").alias("form"), F.md5(text).alias("raw"))
+    same = d.groupBy("k", "form", "raw").agg(F.count("*").alias("n_same"), F.min("row_id").alias("least"))
+    whole = same.groupBy("k", "form").agg(F.sum("n_same").alias("n_rows"), F.count("*").alias("n_texts"), F.min("least").alias("class_id"))
+    sizes = same.join(whole, ["k", "form"]).select("k", "form", "raw", "class_id", "n_rows", "n_texts", (F.col("n_rows") - F.col("n_same")).alias("n_links"))
+    return d.join(sizes, ["k", "form", "raw"]).select(F.lit(table).alias("src_table"), "row_id", "class_id", "n_rows", "n_texts", "n_links")

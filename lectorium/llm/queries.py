@@ -42,6 +42,15 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p6_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with the class of those that look the same, and the number of its links."""
+    from lectorium.llm.lookalike import same_look_classes
+
+    cache = spread(table(spark, root, "translation_cache", "cache_id", "text_hash", "translated_text"))
+    a = same_look_classes(cache, "translation_cache", "cache_id", "text_hash", "translated_text")
+    return a.unionByName(same_look_classes(results(spark, root, "task_id", "text"), "translation_results", "result_id", "task_id", "text"))
+
+
 def p1_shares(spark: SparkSession, root: str) -> DataFrame:
     from lectorium.llm.repetition import fitted, with_shares
 

@@ -100,6 +100,14 @@ def test_same_look_pairs(spark, rows):
     assert lookalike.same_look_pairs(d.limit(0), "x", "id", "key", "t").count() == 0
 
 
+def test_same_look_classes_agree_with_pairs(spark, rows):
+    d = spark.createDataFrame([(1, "k", "ab"), (2, "k", "аb"), (3, "k", "ab"), (4, "k", "ac"), (5, None, "ab"), (6, "k", None), (7, "q", "ab")], "id bigint, key string, t string")
+    got = rows(lookalike.same_look_classes(d, "x", "id", "key", "t"), "row_id", "class_id", "n_rows", "n_texts", "n_links")
+    assert got == [(1, 1, 3, 2, 1), (2, 1, 3, 2, 2), (3, 1, 3, 2, 1), (4, 4, 1, 1, 0), (7, 7, 1, 1, 0)]
+    assert sum(x[4] for x in got) == 2 * lookalike.same_look_pairs(d, "x", "id", "key", "t").count()
+    assert lookalike.same_look_classes(d.limit(0), "x", "id", "key", "t").count() == 0
+
+
 def brute_share(text):
     units, sizes, ja = (*repetition.units_of(text, repetition.is_japanese(text)), repetition.is_japanese(text))
     n = repetition.CHARS if ja else repetition.WORDS
