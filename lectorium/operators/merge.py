@@ -118,7 +118,10 @@ def _dup(t: str, doc: str, key: str):
     return lambda ts: ts[t].groupBy(F.col(doc).alias("doc"), F.col(key).alias("item")).count().where("count > 1")
 
 
-def _missing(child: str, doc: str, ref: str, parent: str, key: str):
+def _missing(child: str, doc: str, ref: str, parent: str, key: str, whole: bool = False):
+    """References without a parent row, within their document or (``whole``) anywhere."""
+    if whole:
+        return lambda ts: ts[child].select(F.col(ref).alias("item")).distinct().join(ts[parent].select(F.col(key).alias("item")), "item", "left_anti").select(F.col("item").alias("doc"), "item")
     return lambda ts: ts[child].where(F.col(ref).isNotNull()).select(F.col(doc).alias("doc"), F.col(ref).alias("item")).distinct().join(ts[parent].select(F.col(doc).alias("doc"), F.col(key).alias("item")).distinct(), ["doc", "item"], "left_anti")
 
 
@@ -126,6 +129,27 @@ def _where(t: str, doc: str, key: str, bad: Column):
     return lambda ts: ts[t].where(bad).select(F.col(doc).alias("doc"), F.col(key).alias("item"))
 
 
+def _joined(child: str, doc: str, key: str, parent: str, on: dict[str, str], bad: Column):
+    """Rows of a child whose parent row makes ``bad`` true."""
+    return lambda ts: ts[child].join(ts[parent].select(*[F.col(c).alias(a) for a, c in on.items()]), list(on)[: len(on) - 1]).where(bad).select(F.col(doc).alias("doc"), F.col(key).alias("item"))
+
+
+def library_rules() -> list[Rule]:
+    """Rules that need the other tables: papers, memberships, tasks, results."""
+    size = F.col("_text")
+    return [
+        ("UNKNOWN_PAPER", "error", _missing("blocks", "paper_id", "paper_id", "papers", "id", whole=True)),
+        ("EMPTY_PAPER", "warning", lambda ts: ts["papers"].join(ts["blocks"].select(F.col("paper_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("doc"), F.col("id").alias("item"))),
+        ("PAGE_COUNT", "error", _joined("blocks", "paper_id", "block_id", "papers", {"paper_id": "id", "_pages": "page_count"}, F.col("page_end") > F.col("_pages"))),
+        ("REVISION", "error", _where("papers", "id", "id", F.col("package_revision") < 0)),
+        ("TASK_BLOCK", "warning", _missing("tasks", "paper_id", "block_id", "blocks", "block_id")),
+        ("RESULT_TASK", "error", lambda ts: ts["results"].join(ts["tasks"].select("task_id"), "task_id", "left_anti").select(F.col("result_id").alias("doc"), F.col("task_id").alias("item"))),
+        ("OFFSET_BEYOND", "error", _joined("annotations", "paper_id", "id", "blocks", {"paper_id": "paper_id", "block_id": "block_id", "_text": "text"}, F.col("end_offset") > F.length(size))),
+        ("SELECTION", "warning", _joined("annotations", "paper_id", "id", "blocks", {"paper_id": "paper_id", "block_id": "block_id", "_text": "text"}, F.substring(size, F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")) != F.col("selected_text"))),
+        ("BLANK_HEADING", "warning", _where("blocks", "paper_id", "block_id", (F.col("block_role") == "heading") & (F.trim("text") == ""))),
+    ]
+
+
 def package_rules() -> list[Rule]:
     """Rules over blocks, annotations, tasks: duplicates, missing targets, page and box sanity, gaps."""
     box = F.col("bbox")

@@ -130,13 +130,27 @@ def _(spark, root):
 
 @query(
     "aud_07_rates",
-    _RES + "SELECT source_language, target_language, model, count(*) n, round(count(*) FILTER (text IS NULL) / greatest(count(*), 1), 6)::DOUBLE missing, round(count(*) FILTER (text = upper(text)) / greatest(count(*), 1), 6)::DOUBLE upper_, "
-    "round(count(*) FILTER (output_chars < input_chars * 0.28) / greatest(count(*), 1), 6)::DOUBLE short FROM res GROUP BY GROUPING SETS ((source_language, target_language), (model), ())",
+    _RES + "SELECT r.source_language, r.target_language, model, via, count(*) n, round(count(*) FILTER (text IS NULL) / greatest(count(*), 1), 6)::DOUBLE missing, round(count(*) FILTER (trim(text) = '') / greatest(count(*), 1), 6)::DOUBLE blank, round(count(*) FILTER (text = upper(text)) / greatest(count(*), 1), 6)::DOUBLE upper_, round(count(*) FILTER (output_chars < input_chars * 0.28) / greatest(count(*), 1), 6)::DOUBLE short, round(count(*) FILTER (output_chars > input_chars * 4) / greatest(count(*), 1), 6)::DOUBLE long_, round(count(*) FILTER (text = source_text) / greatest(count(*), 1), 6)::DOUBLE copied, round(count(*) FILTER (contains(text, chr(65533))) / greatest(count(*), 1), 6)::DOUBLE broken, round(count(*) FILTER (length(replace(text, '(', '')) <> length(replace(text, ')', ''))) / greatest(count(*), 1), 6)::DOUBLE brackets, round(count(*) FILTER (regexp_matches(source_text, '[0-9]') AND NOT regexp_matches(text, '[0-9]')) / greatest(count(*), 1), 6)::DOUBLE figures_lost, round(count(*) FILTER (output_chars <> length(text)) / greatest(count(*), 1), 6)::DOUBLE recounted, round(count(*) FILTER (attempt > 1) / greatest(count(*), 1), 6)::DOUBLE again, round(count(*) FILTER (output_tokens IS NULL) / greatest(count(*), 1), 6)::DOUBLE uncounted "
+    "FROM res r LEFT JOIN (SELECT task_id, text source_text FROM translation_tasks) USING (task_id) GROUP BY GROUPING SETS ((r.source_language, r.target_language), (model), (via), ())",
 )
 def _(spark, root):
-    r = results(spark, root, "source_language", "target_language", "model", "text", "output_chars", "input_chars")
-    flags = {"missing": F.col("text").isNull(), "upper_": F.col("text") == F.upper("text"), "short": F.col("output_chars") < F.col("input_chars") * 0.28}
-    return E.rates(r, flags, [["source_language", "target_language"], ["model"], []])
+    r = results(spark, root, "task_id", "attempt", "via", "source_language", "target_language", "model", "text", "output_chars", "input_chars", "output_tokens")
+    r = r.join(table(spark, root, "translation_tasks", "task_id", "text").withColumnRenamed("text", "source_text"), "task_id", "left")
+    flags = {
+        "missing": F.col("text").isNull(),
+        "blank": F.trim("text") == "",
+        "upper_": F.col("text") == F.upper("text"),
+        "short": F.col("output_chars") < F.col("input_chars") * 0.28,
+        "long_": F.col("output_chars") > F.col("input_chars") * 4,
+        "copied": F.col("text") == F.col("source_text"),
+        "broken": F.contains("text", F.lit("\ufffd")),
+        "brackets": F.length(F.replace("text", F.lit("("))) != F.length(F.replace("text", F.lit(")"))),
+        "figures_lost": F.col("source_text").rlike("[0-9]") & ~F.col("text").rlike("[0-9]"),
+        "recounted": F.col("output_chars") != F.length("text"),
+        "again": F.col("attempt") > 1,
+        "uncounted": F.col("output_tokens").isNull(),
+    }
+    return E.rates(r, flags, [["source_language", "target_language"], ["model"], ["via"], []])
 
 
 @query(

@@ -91,6 +91,32 @@ def _(spark, root):
     return M.violations({"blocks": b, "annotations": notes(spark, root, "paper_id", "block_id", "start_offset", "end_offset")}, M.package_rules())
 
 
+@query(
+    "val_01_library",
+    _BLK + ", " + _ANN + ", " + _CUR.replace("WITH ", "", 1) + ", rs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) rn FROM translation_results) WHERE rn = 1), "
+    "ab AS (SELECT a.*, b.text FROM ann a JOIN blk b USING (paper_id, block_id)), v AS (SELECT DISTINCT 'UNKNOWN_PAPER' code, 'error' severity, paper_id doc, paper_id item FROM blk WHERE paper_id NOT IN (SELECT id FROM cur) "
+    "UNION ALL SELECT 'EMPTY_PAPER', 'warning', id, id FROM cur WHERE id NOT IN (SELECT paper_id FROM blk) "
+    "UNION ALL SELECT 'PAGE_COUNT', 'error', paper_id, block_id FROM blk JOIN cur ON blk.paper_id = cur.id WHERE page_end > page_count "
+    "UNION ALL SELECT 'REVISION', 'error', id, id FROM cur WHERE package_revision < 0 "
+    "UNION ALL SELECT DISTINCT 'TASK_BLOCK', 'warning', paper_id, block_id FROM translation_tasks t WHERE NOT EXISTS (SELECT 1 FROM blk WHERE blk.paper_id = t.paper_id AND blk.block_id = t.block_id) "
+    "UNION ALL SELECT 'RESULT_TASK', 'error', result_id::VARCHAR, task_id::VARCHAR FROM rs WHERE task_id NOT IN (SELECT task_id FROM translation_tasks) "
+    "UNION ALL SELECT 'OFFSET_BEYOND', 'error', paper_id, id FROM ab WHERE end_offset > length(text) "
+    "UNION ALL SELECT 'SELECTION', 'warning', paper_id, id FROM ab WHERE substring(text, start_offset + 1, end_offset - start_offset) <> selected_text "
+    "UNION ALL SELECT 'BLANK_HEADING', 'warning', paper_id, block_id FROM blk WHERE block_role = 'heading' AND trim(text) = '') SELECT * FROM v",
+)
+def _(spark, root):
+    from lectorium.plans.library import current, results
+
+    tables = {
+        "blocks": blocks(spark, root, "block_role", "text", "page_end"),
+        "annotations": notes(spark, root, "paper_id", "block_id", "start_offset", "end_offset", "selected_text"),
+        "papers": current(spark, root, "page_count", "package_revision"),
+        "tasks": table(spark, root, "translation_tasks", "task_id", "paper_id", "block_id"),
+        "results": results(spark, root, "task_id"),
+    }
+    return M.violations(tables, M.library_rules())
+
+
 @query("mig_02_dedup", _CUR + "SELECT id FROM cur WHERE id IN (SELECT min(id) FROM cur GROUP BY source_file_hash)")
 def _(spark, root):
     from lectorium.plans.library import current
