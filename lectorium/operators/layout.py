@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectorium.operators.ordered import with_next
+from lectorium.operators.ordered import with_carried, with_next
 
 # Thresholds of column detection, in page units or shares of the page width.
 HEADER_Y, FOOTER_MARGIN, MIN_COLUMN_ITEMS, SPAN_SHARE, BIN = 52.0, 48.0, 8, 0.55, 8
@@ -236,8 +236,7 @@ def reading_edges(blocks: DataFrame, key: str = "block_id", doc: str = "paper_id
 
 def under_heading(blocks: DataFrame, doc: str = "paper_id", order: str = "block_order", key: str = "block_id") -> DataFrame:
     """Each block with the heading it stands under, null before the first."""
-    w = Window.partitionBy(doc).orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.last(F.when(F.col("block_role") == "heading", F.col("text")), ignorenulls=True).over(w))
+    return with_carried(blocks, [doc], [order, key], F.when(F.col("block_role") == "heading", F.col("text")), "section")
 
 
 def heading_parents(blocks: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectorium.functions.text import contains_folded, filled
+from lectorium.operators.ordered import with_place
 from lectorium.operators.versions import latest
 
 
@@ -63,8 +64,7 @@ def annotations_in_order(annotations: DataFrame, blocks: DataFrame) -> DataFrame
     most = 2**31 - 1
     b = blocks.select("paper_id", "block_id", "block_order")
     d = annotations.join(b, ["paper_id", "block_id"], "left").withColumn("block_order", F.coalesce("block_order", F.lit(most)))
-    w = Window.partitionBy("paper_id").orderBy("block_order", "start_offset", "id")
-    return d.withColumn("place", F.row_number().over(w))
+    return with_place(d, ["paper_id"], ["block_order", "start_offset", "id"])
 
 
 def cache_probe(requests: DataFrame, cache: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,8 +99,7 @@ def cascade_deleted(child: DataFrame, doomed: DataFrame, child_key: str, parent_
 
 def progress(blocks: DataFrame, positions: DataFrame) -> DataFrame:
     """Reading progress in percent: place of the last read block among the paper's; null for unknown blocks."""
-    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
-    b = blocks.select("paper_id", "block_id", F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("paper_id")).alias("n"))
+    b = with_place(blocks.select("paper_id", "block_id", "block_order"), ["paper_id"], ["block_order", "block_id"], total="n").drop("block_order")
     return positions.join(b, ["paper_id", "block_id"], "left").withColumn("percent", F.floor(100 * F.col("place") / F.col("n") + 0.5).cast("int"))
 
 

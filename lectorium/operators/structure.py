@@ -6,19 +6,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectorium.operators.ordered import with_carried
+
 
 def block_confidence(blocks: DataFrame) -> DataFrame:
     """Mean of four part scores (text, box, order, source), rounded to 2 places, and its band.
 
     A missing source score counts as 1; a block above its predecessor on the same page loses on order.
     """
-    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
+    blocks = with_carried(blocks, ["paper_id"], ["block_order", "block_id"], F.struct("page_start", F.col("bbox.y_top").alias("y")), "_prev", own=False)
     text = F.when(F.length(F.trim("text")) >= 3, 1.0).when(F.col("block_role") == "figure", 1.0).otherwise(0.3)
     box = F.when((F.col("bbox.width") > 0) & (F.col("bbox.height") > 0), 1.0).otherwise(0.0)
-    back = (F.lag("page_start").over(w) == F.col("page_start")) & (F.lag("bbox.y_top").over(w) > F.col("bbox.y_top") + 400)
+    back = (F.col("_prev.page_start") == F.col("page_start")) & (F.col("_prev.y") > F.col("bbox.y_top") + 400)
     order = F.when(back, 0.6).otherwise(1.0)
     score = F.floor(((text + box + order + F.coalesce("extraction_confidence", F.lit(1.0))) / 4) * 100 + 0.5) / 100
-    return blocks.withColumn("confidence", score).withColumn("band", F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low"))
+    return blocks.withColumn("confidence", score).drop("_prev").withColumn("band", F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low"))
 
 
 def fused(votes: DataFrame, weights: dict[str, float], key: str) -> DataFrame:
@@ -132,10 +134,10 @@ def hyphen_joined(texts: Column) -> Column:
 
 def continued(blocks: DataFrame) -> DataFrame:
     """Append ``continues``: the paragraph before ends inside a sentence and this one starts inside one."""
-    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
-    before = F.last(F.when(F.col("block_role") == "paragraph", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = with_carried(blocks, ["paper_id"], ["block_order", "block_id"], F.when(F.col("block_role") == "paragraph", F.col("text")), "_before", own=False)
+    before = F.col("_before")
     c = (F.col("block_role") == "paragraph") & ~F.rtrim(before).rlike(r"[.!?。．！？:：][\"”’)\]」』]*$") & F.col("text").rlike(r"^\s*[\p{Ll}(]")
-    return blocks.withColumn("continues", F.coalesce(c, F.lit(False)))
+    return blocks.withColumn("continues", F.coalesce(c, F.lit(False))).drop("_before")
 
 
 def replaced_pages(native: DataFrame, ocr: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectorium.operators.ordered import with_place
+
 # Priority levels, the most urgent first.
 CRITICAL, HIGH, MEDIUM, LOW = 0, 1, 2, 3
 
@@ -27,16 +29,14 @@ def priority_from_focus(offset: Column) -> Column:
 
 def around_focus(blocks: DataFrame, focus: DataFrame) -> DataFrame:
     """Each block of a paper with its priority around the paper's focus block."""
-    w = Window.partitionBy("paper_id").orderBy("block_order", "block_id")
-    b = blocks.withColumn("_at", F.row_number().over(w))
+    b = with_place(blocks, ["paper_id"], ["block_order", "block_id"], "_at")
     f = b.join(focus.select("paper_id", "block_id"), ["paper_id", "block_id"]).select("paper_id", F.col("_at").alias("_focus"))
     return b.join(f, "paper_id").withColumn("priority", priority_from_focus(F.col("_at") - F.col("_focus"))).drop("_at", "_focus")
 
 
 def queue_order(tasks: DataFrame) -> DataFrame:
     """Place in the queue of each language pair: by priority, then first in first out."""
-    w = Window.partitionBy("source_language", "target_language").orderBy("priority", "queued_at", "task_id")
-    return tasks.withColumn("place", F.row_number().over(w))
+    return with_place(tasks, ["source_language", "target_language"], ["priority", "queued_at", "task_id"])
 
 
 def reprioritized(tasks: DataFrame, levels: DataFrame) -> DataFrame:
