@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectorium.operators.ordered import with_carried
+
 #: Items of a page below which it needs recognition.
 FEW_ITEMS = 10
 
@@ -107,3 +109,64 @@ def repaired_input(text: Column) -> Column:
     """Slips that lead a translation engine astray: "its not" for "it is not", a comma before "nor"."""
     t = F.regexp_replace(text, r"\b([Ii])ts not\b", "$1t is not")
     return F.regexp_replace(t, r"\b([Nn]either [^,.;]+), nor\b", "$1 nor")
+
+
+# The least ratio of a title's font to the body's, its least length, the edge of the page's head, and the
+# bounds of a figure's crop (points, and share of the page's height).
+TITLE_RATIO, TITLE_LENGTH, HEAD_EDGE, CROP_LEAST, CROP_MOST = 1.28, 8, 48.0, 36.0, 0.58
+BODY_START = r"(?i)^\s*(?:[0-9]+\.?\s*)?(?:abstract|introduction|zusammenfassung|einleitung|要旨|概要|はじめに|序論)\s*$"
+
+
+def first_page(lines: DataFrame, base: DataFrame, doc: str) -> DataFrame:
+    """Per document the font of its title on the first page (0 where none stands out) and where its masthead ends.
+
+    The masthead ends at the first heading that opens the body, else at the first long line in body font below the
+    title, else nowhere (-1).  lines: doc, page, line_no, text, y, height, font_size; base: doc, body_font."""
+    p = lines.where("page = 1 AND trim(text) <> ''").join(base, doc)
+    font = p.groupBy(doc).agg(F.max(F.when(F.length(F.trim("text")) >= TITLE_LENGTH, F.col("font_size"))).alias("_max"), F.min(F.when(F.col("text").rlike(BODY_START), F.col("y"))).alias("_named"), F.first("body_font").alias("_base"))
+    font = font.withColumn("title_font", F.when(F.col("_max") >= F.col("_base") * TITLE_RATIO, F.col("_max")).otherwise(0.0))
+    p = p.join(font.select(doc, "title_font"), doc)
+    title = (F.col("title_font") > 0) & (F.col("font_size") >= F.greatest(F.col("title_font") * 0.9, F.col("body_font") * TITLE_RATIO)) & F.length(F.trim("text")).between(TITLE_LENGTH, 180) & ~F.col("text").rlike(BODY_START)
+    below = p.where(title).groupBy(doc).agg(F.min_by(F.col("y") + F.greatest(F.lit(18.0), F.col("height")), "line_no").alias("_below"))
+    body = p.join(below, doc, "left").where((F.col("y") > F.coalesce("_below", F.lit(70.0))) & (F.col("font_size") <= F.col("body_font") * 1.08) & (F.length(F.trim("text")) > 50))
+    body = body.groupBy(doc).agg(F.min_by("y", "line_no").alias("_body"))
+    d = font.join(body, doc, "left")
+    return d.select(doc, "title_font", F.coalesce("_named", "_body", F.lit(-1.0)).alias("masthead_end"))
+
+
+def crops(blocks: DataFrame, doc: str, width: float = 612.0, height: float = 792.0, gutter: float = 306.0, left: float = 54.0) -> DataFrame:
+    """The rectangle of the figure above each caption: down from the nearest block above in the caption's column.
+
+    blocks: doc, block_id, role, page, side (left, right or full), x, y, w, h.  Blocks meet within their page; a
+    rectangle lower than ``CROP_LEAST`` is none, a higher one than ``CROP_MOST`` of the page is cut at its top."""
+    margin = max(left - 10, 18.0)
+    side = F.col("side")
+    band_x = F.when(side == "right", gutter + 8).otherwise(margin)
+    band_w = F.when(side == "left", gutter - margin - 10).when(side == "right", width - gutter - 8 - 18).otherwise(width - margin - 18)
+    c = blocks.where("role = 'caption'").select(doc, "page", "block_id", F.col("x").alias("_cx"), F.col("w").alias("_cw"), F.col("y").alias("_top"), band_x.alias("_bx"), band_w.alias("_bw"))
+    o = blocks.where("role NOT IN ('figure', 'header', 'footer', 'copyright')").select(doc, "page", F.col("block_id").alias("_other"), F.col("x").alias("_x"), F.col("w").alias("_w"), (F.col("y") + F.col("h")).alias("_bottom"))
+    above = c.join(o, [doc, "page"]).where("_other <> block_id AND _bottom <= _top - 2 AND _x < _bx + _bw AND _x + _w > _bx")
+    bound = above.groupBy(doc, "block_id").agg(F.max("_bottom").alias("_bound"))
+    d = c.join(bound, [doc, "block_id"], "left").withColumn("_bound", F.greatest(F.coalesce("_bound", F.lit(HEAD_EDGE)), F.lit(HEAD_EDGE)))
+    tall = F.col("_top") - 3 - (F.col("_bound") + 3)
+    d = d.withColumn("crop_h", F.least(tall, F.lit(height * CROP_MOST))).where(tall >= CROP_LEAST)
+    x = F.greatest(F.lit(0.0), F.least("_bx", "_cx") - 6)
+    right = F.least(F.lit(width), F.greatest(F.col("_bx") + F.col("_bw"), F.col("_cx") + F.col("_cw")) + 6)
+    return d.select(doc, "block_id", "page", x.alias("crop_x"), (F.col("_top") - 3 - F.col("crop_h")).alias("crop_y"), F.greatest(F.lit(24.0), right - x).alias("crop_w"), "crop_h")
+
+
+def reading_dump(blocks: DataFrame, doc: str) -> DataFrame:
+    """A line for each block in reading order, with a mark where the page or the column changes.
+
+    blocks: doc, block_id, block_order, page, side, text."""
+    d = with_carried(blocks, [doc], ["block_order", "block_id"], F.struct("page", "side"), "_prev", own=False)
+    mark = F.when(F.col("_prev").isNull() | (F.col("_prev.page") != F.col("page")), F.concat(F.lit("== page "), F.col("page").cast("string"), F.lit(" ==\n"))).when(F.col("_prev.side") != F.col("side"), F.concat(F.lit("-- "), "side", F.lit(" --\n"))).otherwise("")
+    return d.select(doc, "block_id", F.concat(mark, F.coalesce("text", F.lit("[figure]"))).alias("line"))
+
+
+def evidence(blocks: DataFrame, doc: str) -> DataFrame:
+    """What a document shows of its kind: blocks by role, pages, and the DOIs it names."""
+    dois = F.regexp_extract_all("text", F.lit(r"10\.[0-9]{4,9}/[0-9A-Za-z._;()/:-]+"), 0)
+    n = blocks.groupBy(doc).agg(F.max("page").alias("n_pages"), *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("heading", "paragraph", "caption", "reference", "footnote", "list", "figure")])
+    named = blocks.select(doc, F.explode(dois).alias("doi")).groupBy(doc).agg(F.countDistinct("doi").alias("n_dois"))
+    return n.join(named, doc, "left").fillna(0, ["n_dois"])

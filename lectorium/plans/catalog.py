@@ -119,7 +119,7 @@ def _(spark, root):
     return R.resolved(b, R.unique_references(b, "paper_id", "block_id", "block_role"), "paper_id").where("size(keys) > 0").select("paper_id", "block_id", F.concat_ws(",", F.transform("keys", lambda x: x.cast("string"))).alias("keys"), "target")
 
 
-@query("cit_05_links")
+@query("cit_05_links", "SELECT doc_id, unnest([{'start': length(text) + 5, 'stop': length(text) + 26, 'href': 'https://a.example/x,y'}, {'start': length(text) + 32, 'stop': length(text) + 44, 'href': 'https://doi.org/10.1234/ab.c'}], recursive := true) FROM documents WHERE text IS NOT NULL")
 def _(spark, root):
     d = table(spark, root, "documents", "doc_id", "text").where("text IS NOT NULL")
     d = d.withColumn("text", F.concat("text", F.lit(" See https://a.example/x,y. and 10.1234/ab.c")))

@@ -206,3 +206,55 @@ def _(spark, root):
 @query("qlt_07_bare_facts")
 def _(spark, root):
     return _pairs(spark, root).select("result_id", X.bare_facts_column(F.col("source_text"), F.col("text")).alias("bare"))
+
+
+@query(
+    "lay_13_first_page",
+    _LIN + ", f AS (SELECT line_id, paper_id, page, line_no, text, y_top y, height, coalesce(font_size, height * 0.9) fs FROM lin), base AS (SELECT paper_id, median(fs) body FROM f WHERE length(text) > 40 GROUP BY 1), "
+    "p AS (SELECT f.*, body, regexp_matches(text, '(?i)^\\s*(?:[0-9]+\\.?\\s*)?(?:abstract|introduction|zusammenfassung|einleitung|要旨|概要|はじめに|序論)\\s*$') starts FROM f JOIN base USING (paper_id) WHERE page = 1 AND trim(text) <> ''), "
+    "g AS (SELECT paper_id, max(fs) FILTER (length(trim(text)) >= 8) mx, min(y) FILTER (starts) named, any_value(body) body FROM p GROUP BY 1), t AS (SELECT paper_id, CASE WHEN mx >= body * 1.28 THEN mx ELSE 0 END tf, named FROM g), "
+    "q AS (SELECT p.*, tf FROM p JOIN t USING (paper_id)), b AS (SELECT paper_id, arg_min(y + greatest(18.0, height), line_no) below FROM q WHERE tf > 0 AND fs >= greatest(tf * 0.9, body * 1.28) AND length(trim(text)) BETWEEN 8 AND 180 AND NOT starts GROUP BY 1), "
+    "c AS (SELECT q.paper_id, arg_min(y, line_no) body_y FROM q LEFT JOIN b USING (paper_id) WHERE y > coalesce(below, 70.0) AND fs <= body * 1.08 AND length(trim(text)) > 50 GROUP BY 1) "
+    "SELECT t.paper_id, round(tf, 6)::DOUBLE title_font, round(coalesce(named, body_y, -1.0), 6)::DOUBLE masthead_end FROM t LEFT JOIN c USING (paper_id)",
+)
+def _(spark, root):
+    d = lines(spark, root, "paper_id", "page", "line_no", "text", "y_top", "height", "font_size").withColumnRenamed("y_top", "y").withColumn("font_size", F.coalesce("font_size", F.col("height") * 0.9))
+    base = d.where(F.length("text") > 40).groupBy("paper_id").agg(F.median("font_size").alias("body_font"))
+    p = D.first_page(d, base, "paper_id")
+    return p.select("paper_id", F.round("title_font", 6).alias("title_font"), F.round("masthead_end", 6).alias("masthead_end"))
+
+
+def _boxes(spark, root):
+    b = blocks(spark, root, "block_order", "block_role", "page_start", "column_side", "bbox", "text")
+    return b.select("paper_id", "block_id", "block_order", F.col("block_role").alias("role"), F.col("page_start").alias("page"), F.col("column_side").alias("side"), "text", F.col("bbox.x_left").alias("x"), F.col("bbox.y_top").alias("y"), F.col("bbox.width").alias("w"), F.col("bbox.height").alias("h"))
+
+
+@query(
+    "lay_18_crops",
+    _BLK + ", d AS (SELECT paper_id, block_id, block_role r, page_start p, column_side s, bbox.x_left x, bbox.y_top y, bbox.width w, bbox.height h FROM blk), "
+    "c AS (SELECT *, CASE WHEN s = 'right' THEN 314.0 ELSE 44.0 END bx, CASE WHEN s = 'left' THEN 252.0 WHEN s = 'right' THEN 280.0 ELSE 550.0 END bw FROM d WHERE r = 'caption'), "
+    "k AS (SELECT c.paper_id, c.block_id, max(o.y + o.h) b FROM c JOIN d o ON c.paper_id = o.paper_id AND c.p = o.p AND o.block_id <> c.block_id AND o.r <> 'figure' AND o.y + o.h <= c.y - 2 AND o.x < c.bx + c.bw AND o.x + o.w > c.bx GROUP BY 1, 2), "
+    "m AS (SELECT c.*, c.y - 6 - greatest(coalesce(k.b, 48.0), 48.0) tall, greatest(0.0, least(bx, x) - 6) cx, least(612.0, greatest(bx + bw, x + w) + 6) rx FROM c LEFT JOIN k USING (paper_id, block_id)) "
+    "SELECT paper_id, block_id, p page, round(cx, 4)::DOUBLE crop_x, round(y - 3 - least(tall, 459.36), 4)::DOUBLE crop_y, round(greatest(24.0, rx - cx), 4)::DOUBLE crop_w, round(least(tall, 459.36), 4)::DOUBLE crop_h FROM m WHERE tall >= 36",
+)
+def _(spark, root):
+    d = D.crops(_boxes(spark, root), "paper_id")
+    return d.select("paper_id", "block_id", "page", *[F.round(c, 4).alias(c) for c in ("crop_x", "crop_y", "crop_w", "crop_h")])
+
+
+@query(
+    "lay_24_dump",
+    _BLK + ", d AS (SELECT paper_id, block_id, page_start p, column_side s, coalesce(text, '[figure]') t, lag(page_start) OVER w pp, lag(column_side) OVER w ps FROM blk WINDOW w AS (PARTITION BY paper_id ORDER BY block_order, block_id)) "
+    "SELECT paper_id, block_id, CASE WHEN pp IS NULL OR pp <> p THEN '== page ' || p || ' ==' || chr(10) WHEN ps <> s THEN '-- ' || s || ' --' || chr(10) ELSE '' END || t line FROM d",
+)
+def _(spark, root):
+    return D.reading_dump(_boxes(spark, root), "paper_id")
+
+
+@query(
+    "str_08_evidence",
+    _BLK + "SELECT paper_id, max(page_start) n_pages, " + ", ".join(f"count(*) FILTER (block_role = '{r}') n_{r}" for r in ("heading", "paragraph", "caption", "reference", "footnote", "list", "figure"))
+    + ", len(list_distinct(flatten(list(regexp_extract_all(coalesce(text, ''), '10\\.[0-9]{4,9}/[0-9A-Za-z._;()/:-]+')))))::BIGINT n_dois FROM blk GROUP BY 1",
+)
+def _(spark, root):
+    return D.evidence(_boxes(spark, root), "paper_id")

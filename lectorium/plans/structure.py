@@ -11,6 +11,7 @@ from lectorium.operators import quality as Q
 from lectorium.operators import structure as S
 from lectorium.plans.layout import _IT, boxes, items, pages
 from lectorium.plans.library import _BLK, _CUR, _RES, blocks, current, results
+from lectorium.operators.versions import latest
 from lectorium.plans.registry import query
 from lectorium.sources.tables import table
 
@@ -69,8 +70,11 @@ def _(spark, root):
 
 @query("lay_15_blocks")
 def _(spark, root):
-    it = items(spark, root)
-    lines = it.select("doc_id", "page", F.col("item_ix").alias("place"), "text", F.col("y").alias("line_y"), "height", P.line_role(F.col("text"), F.lit(10.0), F.lit(10.0)).alias("role"))
+    d = table(spark, root, "page_lines", "line_id", "paper_id", "page", "line_no", "text", "y_top", "height", "font_size", "ingested_at")
+    d = latest(d, ["line_id"], ["ingested_at"]).withColumn("font_size", F.coalesce("font_size", F.col("height") * 0.9))
+    body = d.where(F.length("text") > 40).groupBy("paper_id").agg(F.median("font_size").alias("body"))
+    d = d.join(body, "paper_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
+    lines = d.select(F.col("paper_id").alias("doc_id"), "page", F.col("line_no").alias("place"), "text", F.col("y_top").alias("line_y"), "height", P.line_role(F.col("text"), F.col("font_size"), F.col("body")).alias("role"))
     g = S.grouped_lines(lines).groupBy("doc_id", "page", "block_no")
     pieces = F.array_sort(F.collect_list(F.struct("place", "text")))
     return g.agg(F.count("*").alias("n_lines"), F.min("role").alias("role"), S.hyphen_joined(F.transform(pieces, lambda x: x["text"])).alias("text"))
