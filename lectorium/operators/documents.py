@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectorium.operators.ordered import with_carried
+from lectorium.operators.versions import latest
 
 #: Items of a page below which it needs recognition.
 FEW_ITEMS = 10
 
 
 def added(members: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New memberships that do not exist yet join; those that do are left as they are."""
-    return members.unionByName(new.dropDuplicates(list(keys)).join(members.select(*keys), list(keys), "left_anti"))
+    """New memberships that do not exist yet join; those that do are left as they are.  Of several new rows of a key
+    the greatest in its other columns joins."""
+    rest = [c for c in new.columns if c not in keys]
+    once = latest(new, list(keys), rest) if rest else new.distinct()
+    return members.unionByName(once.join(members.select(*keys), list(keys), "left_anti"))
 
 
 def moved(members: DataFrame, moves: DataFrame, node: str, item: str) -> DataFrame:

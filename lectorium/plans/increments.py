@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lectorium.functions import segments as G
 from lectorium.plans.library import _BLK, blocks
 from lectorium.plans.registry import query
-from lectorium.session import shared_folder
+from lectorium.session import own_folder, spread
 from lectorium.sources.tables import table
 from lectorium.streaming import increments as I
 
@@ -67,7 +65,7 @@ def _(spark, root):
 @query("stm_12_stream_first", "SELECT user_id, event_type, count(*) n FROM events GROUP BY 1, 2")
 def _(spark, root):
     """events as a stream, one delivery per event id, appended per micro-batch and read back."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = own_folder(spark, "stream")
     schema = table(spark, root, "events").schema
     s = I.first_deliveries(I.source(spark, root, schema, name="events.parquet").where("event_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "60 days")
     I.into_table(s, f"{at}/out", f"{at}/state").awaitTermination()
@@ -77,7 +75,7 @@ def _(spark, root):
 @query("seg_01_units")
 def _(spark, root):
     d = table(spark, root, "documents", "doc_id", "text").where("text IS NOT NULL")
-    return d.select("doc_id", F.posexplode(G.units_column(F.col("text"))).alias("ix", "unit"))
+    return spread(d).select("doc_id", F.posexplode(G.units_column(F.col("text"))).alias("ix", "unit"))
 
 
 @query("seg_08_round_trip", "SELECT count(*) n, 0 AS n_broken FROM documents WHERE trim(text) <> ''")

@@ -76,6 +76,14 @@ def _(spark, root):
     return M.remapped(notes(spark, root, "paper_id", "block_id"), m, ["paper_id"], "block_id").select("id", "paper_id", "block_id")
 
 
+@query("rec_03_positions")
+def _(spark, root):
+    """The last read block of each paper under its new id."""
+    m = M.reconciled(M.pair_scores(*_snapshots(spark, root), "paper_id"), "paper_id")
+    last = notes(spark, root, "paper_id", "block_id", "updated_at").groupBy("paper_id").agg(F.max_by("block_id", F.struct("updated_at", "id")).alias("block_id"))
+    return M.remapped(last, m, ["paper_id"], "block_id").select("paper_id", "block_id")
+
+
 @query(
     "val_01_violations",
     _BLK + ", " + _ANN + ", v AS (SELECT 'DUPLICATE_BLOCK_ORDER' code, 'error' severity, paper_id doc, block_order::VARCHAR item FROM blk GROUP BY paper_id, block_order HAVING count(*) > 1 "

@@ -66,6 +66,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed like stored tables."""
+    path = f"{shared_folder(spark)}/lectorium-{name}-{uuid.uuid4().hex}"
+    _STORED.append((spark, path))
+    return path
+
+
 _STORED: list = []
 
 
