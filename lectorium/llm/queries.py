@@ -67,7 +67,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 def p2_sentences(spark: SparkSession, root: str) -> DataFrame:
     from lectorium.llm.sentences import with_sentences
 
-    units = spread(table(spark, root, "translation_units", "unit_id", "lang", "text").dropDuplicates(["unit_id"]).where("text IS NOT NULL"))
+    units = spread(latest(table(spark, root, "translation_units", "unit_id", "lang", "text").where("text IS NOT NULL"), ["unit_id"], ["text", "lang"]))
     both = units.select(F.lit("translation_units").alias("src_table"), F.col("unit_id").alias("row_id"), "lang", "text").unionByName(
         results(spark, root, "target_language", "text").select(F.lit("translation_results").alias("src_table"), F.col("result_id").alias("row_id"), F.col("target_language").alias("lang"), "text")
     )
@@ -137,7 +137,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     from lectorium.llm.alignment import aligned
 
     r = results(spark, root, "task_id", "text", "source_language", "target_language")
-    t = table(spark, root, "translation_tasks", "task_id", "text").where("text IS NOT NULL").withColumnRenamed("text", "source_text").dropDuplicates(["task_id"])
+    t = latest(table(spark, root, "translation_tasks", "task_id", "text").where("text IS NOT NULL"), ["task_id"], ["text"]).withColumnRenamed("text", "source_text")
     d = r.join(t, "task_id").withColumnRenamed("result_id", "row_id")
     return aligned(d).select(F.col("row_id").alias("result_id"), "src_start", "tgt_start")
 
