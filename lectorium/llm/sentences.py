@@ -47,15 +47,16 @@ OPEN = dict(zip("(（[［【〔「『《〈“„«‘‚", ")）]］】〕」
 QUOTE_CLOSE = set(")）]］】〕」』》〉”“»’\"")
 CONTINUES = set(",;:،؛、，；：-–—‐%")
 _CAND = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}\p{SB=Sep}\n\r“”„«»\"()（）\[\]［］【】〔〕「」『』《》〈〉]")
-_STERM = regex.compile(r"\p{SB=STerm}")
-_TERMS = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}]")
+_STERM = frozenset(regex.findall(r"\p{SB=STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))))
+_TERMS = _STERM | frozenset(regex.findall(r"\p{SB=ATerm}", "".join(map(chr, range(0xD800))))) | {"．"}
 _ENDED = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}][\s\p{Cf}\p{SB=Close}]*$")
 _SEP = set("\n\r  \x85")
 _SKIP = regex.compile(r"[\s\x1c-\x1f\p{Cf}]*")
 _THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n\r]+(?=\S)")
 _THAI_NEXT = regex.compile("|".join(sorted(THAI_GOES_ON, key=len, reverse=True)))
-_IN_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.．]")
+# read backwards from a full stop; a foreign word inside Japanese or Chinese begins behind the last sign
+_TOKEN = regex.compile(r"[[\p{L}\p{M}\p{N}\p{Cf}.．]--[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f]]*", regex.V1 | regex.REVERSE)
 _UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
 _BRACKET = regex.compile("[" + regex.escape("".join(OPEN) + "".join(OPEN.values()) + '"') + "]")
 _DIGIT = regex.compile(r"\p{N}")
@@ -152,13 +153,13 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             p = k - 1
             while p > 0 and unicodedata.category(text[p]) == "Cf":
                 p -= 1
-            if not _TERMS.match(text[p]):
+            if text[p] not in _TERMS:
                 continue
             q = _SKIP.match(text, k + 1).end()
             if q >= n or any(x in _SEP for x in text[k + 1 : q]):
                 continue
             nxt = text[q]
-            if nxt in CONTINUES or nxt in QUOTE_CLOSE and nxt not in OPEN or nxt.islower() or _TERMS.match(nxt):
+            if nxt in CONTINUES or nxt in QUOTE_CLOSE and nxt not in OPEN or nxt.islower() or nxt in _TERMS:
                 continue
             if at_start or nxt.isupper() or nxt in OPEN or (q > k + 1 and not _is_cjk(nxt)):
                 cut(k + 1)
@@ -167,13 +168,13 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             if k in closed:
                 stack.append((OPEN.get(c, c), k == cur))
             continue
-        if stack or not _TERMS.match(c):
+        if stack or c not in _TERMS:
             continue
         j = k + 1  # the run of marks, closing signs and invisible characters
-        dots, strong = c != "。" and not _STERM.match(c), bool(_STERM.match(c))
+        dots, strong = c != "。" and c not in _STERM, c in _STERM
         run = 1
-        while j < n and (_TERMS.match(text[j]) or text[j] in "…" or unicodedata.category(text[j]) == "Cf" or text[j] in ")）]］】」』”’"):
-            if _STERM.match(text[j]):
+        while j < n and (text[j] in _TERMS or text[j] in "…" or unicodedata.category(text[j]) == "Cf" or text[j] in ")）]］】」』”’"):
+            if text[j] in _STERM:
                 strong = True
             if text[j] in ".．…":
                 run += 1
@@ -203,10 +204,7 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             continue
         if not gap and _DIGIT.match(nxt):
             continue
-        p = k  # a foreign word inside Japanese or Chinese begins behind the last sign
-        while p and _IN_TOKEN.match(text[p - 1]) and not _is_cjk(text[p - 1]) and text[p - 1] != "ー":
-            p -= 1
-        token = _plain(text[p:k])
+        token = _plain(_TOKEN.match(text, 0, k).group())
         low = token.lower().strip(".")
         last = low.rpartition(".")[2]
         if low in always or last in always:
