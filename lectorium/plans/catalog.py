@@ -10,6 +10,7 @@ from lectorium.operators import catalog as C
 from lectorium.operators import citations as R
 from lectorium.plans.library import _ANN, _BLK, _CUR, _RES, blocks, current, notes, results
 from lectorium.plans.registry import query
+from lectorium.plans.text import _PLACED, reanchored
 from lectorium.sources import packages as P
 from lectorium.sources.tables import table
 
@@ -134,10 +135,8 @@ def _(spark, root):
     return d.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), R.linked(t, m).alias("text"))
 
 
-@query("ann_04_changed")
+@query("ann_04_changed", _PLACED + "SELECT id, start start_offset, start + n end_offset, status FROM r WHERE start <> s OR (status = 'orphaned') <> (old = 'orphaned')")
 def _(spark, root):
-    from lectorium.plans.text import reanchored
-
     d = reanchored(spark, root).where((F.col("r.start") != F.col("start_offset")) | ((F.col("r.status") == "orphaned") != (F.col("status") == "orphaned")))
     return d.select("id", F.col("r.start").alias("start_offset"), (F.col("r.start") + F.length("selected_text")).alias("end_offset"), F.col("r.status").alias("status"))
 

@@ -80,7 +80,11 @@ def _(spark, root):
     return g.agg(F.count("*").alias("n_lines"), F.min("role").alias("role"), S.hyphen_joined(F.transform(pieces, lambda x: x["text"])).alias("text"))
 
 
-@query("lay_16_continued")
+@query(
+    "lay_16_continued",
+    _BLK + ", d AS (SELECT paper_id, block_id, block_role, text, last_value(CASE WHEN block_role = 'paragraph' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY block_order, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) b FROM blk) "
+    "SELECT paper_id, block_id FROM d WHERE block_role = 'paragraph' AND NOT regexp_matches(rtrim(b), '[.!?。．！？:：][\"”’)\\]」』]*$') AND regexp_matches(text, '^\\s*[\\p{Ll}(]')",
+)
 def _(spark, root):
     return S.continued(blocks(spark, root, "block_order", "block_role", "text")).where("continues").select("paper_id", "block_id")
 

@@ -149,7 +149,20 @@ def reanchored(spark, root):
     return j.withColumn("r", C.reanchor_column(F.col("selected_text"), F.col("start_offset"), before, behind, F.col("text"), same))
 
 
-@query("ann_02_reanchored")
+_PLACED = (
+    "WITH " + _ANN + ", f AS (SELECT paper_id, block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, block_id ORDER BY updated_at, coalesce(text, '')) k FROM layout_blocks) WHERE k = 1), "
+    "l AS (SELECT paper_id, block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, block_id ORDER BY updated_at DESC, coalesce(text, '') DESC) k FROM layout_blocks) WHERE k = 1), "
+    "j AS (SELECT a.id, start_offset s, selected_text sel, a.status old, l.text lt, coalesce(f.text = l.text, false) same, coalesce(substring(f.text, greatest(start_offset - 60, 0) + 1, start_offset - greatest(start_offset - 60, 0)), '') pre, coalesce(substring(f.text, end_offset + 1, 60), '') post "
+    "FROM ann a LEFT JOIN f USING (paper_id, block_id) LEFT JOIN l USING (paper_id, block_id)), "
+    "h AS (SELECT id, pre, post, lt, sel, unnest(list_filter(range(0, length(lt)), lambda i: substring(lt, i + 1, length(sel)) = sel)) hit FROM j WHERE NOT same AND sel <> ''), "
+    "c AS (SELECT *, substring(lt, greatest(hit - length(pre), 0) + 1, hit - greatest(hit - length(pre), 0)) b4, substring(lt, hit + length(sel) + 1, length(post)) af FROM h), "
+    "g AS (SELECT id, hit, list_max(list_filter(range(0, 61), lambda k: k <= least(length(pre), length(b4)) AND right(b4, k) = right(pre, k))) + list_max(list_filter(range(0, 61), lambda k: k <= least(length(post), length(af)) AND left(af, k) = left(post, k))) score FROM c), "
+    "b AS (SELECT id, arg_max(hit, (score, -hit)) hit FROM g GROUP BY 1), "
+    "r AS (SELECT j.id, s, old, CASE WHEN coalesce(lt, '') = '' OR same OR b.hit IS NULL THEN s ELSE b.hit END::INT AS start, CASE WHEN coalesce(lt, '') = '' OR (NOT same AND b.hit IS NULL) THEN 'orphaned' ELSE 'active' END status, length(sel) n FROM j LEFT JOIN b USING (id)) "
+)
+
+
+@query("ann_02_reanchored", _PLACED + "SELECT id, start, status FROM r")
 def _(spark, root):
     return reanchored(spark, root).select("id", "r.start", "r.status")
 
