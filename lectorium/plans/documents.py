@@ -14,8 +14,6 @@ from lectorium.plans.library import _ANN, _BLK, _CUR, _RES, blocks, current, not
 from lectorium.plans.registry import query
 from lectorium.sources.tables import table
 
-_HOT = "n-hotfolder"
-
 
 def lines(spark, root, *cols):
     want = dict.fromkeys(["line_id", "ingested_at", *cols])
@@ -25,10 +23,10 @@ def lines(spark, root, *cols):
 _LIN = "WITH lin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ingested_at DESC) rn FROM page_lines) WHERE rn = 1) "
 
 
-@query("lib_12_by_paper", "SELECT DISTINCT node_id, lower(trim(paper_id)) paper_id, sort_order FROM workspace_papers WHERE lower(trim(paper_id)) = 'p-0000hotvol' ORDER BY sort_order, node_id")
+@query("lib_12_by_node", "SELECT DISTINCT node_id, lower(trim(paper_id)) paper_id, sort_order FROM workspace_papers WHERE node_id = 'n-0001' ORDER BY sort_order, paper_id")
 def _(spark, root):
     w = table(spark, root, "workspace_papers", "node_id", "paper_id", "sort_order").withColumn("paper_id", F.lower(F.trim("paper_id")))
-    return L.by_key(w, paper_id="p-0000hotvol").distinct().orderBy("sort_order", "node_id")
+    return L.by_key(w, node_id="n-0001").distinct().orderBy("sort_order", "paper_id")
 
 
 @query("lib_13_by_paper", "WITH " + _ANN + "SELECT id, block_id, created_at FROM ann WHERE paper_id = 'p-0000hotvol' ORDER BY created_at, id")
