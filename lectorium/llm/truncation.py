@@ -282,10 +282,11 @@ def cut_values(values, planted_share: float = 1.0):
         *[pick(c, o).alias(f"{c}{o}") for o in range(len(ORDERS) + 1) for c in ("e", "c")],
     )
     per = stored(per)
-    p = F.lit(PRIOR)
+    p, q = F.lit(PRIOR), F.lit(1 - PRIOR)  # q is 1 - p, which as a difference is 0 where all of very many texts end
     for o in range(len(ORDERS)):
-        p = (F.col(f"e{o}") + SMOOTH * p) / (F.col(f"e{o}") + F.col(f"c{o}") + SMOOTH)
-    odds = F.log(p / (1 - p)) - F.when(F.col("debris"), DEBRIS_MALUS).otherwise(0.0)
+        e, c = F.col(f"e{o}"), F.col(f"c{o}")
+        p, q = (e + SMOOTH * p) / (e + c + SMOOTH), (c + SMOOTH * q) / (e + c + SMOOTH)
+    odds = F.log(p / q) - F.when(F.col("debris"), DEBRIS_MALUS).otherwise(0.0)
     limit = F.lit(DEFAULT_THRESHOLD)
     for (col, lang), v in sorted(fitted(per, odds).items()):
         limit = F.when((F.col("src_table") == col) & (F.col("lang") == lang), F.lit(v)).otherwise(limit)

@@ -1,6 +1,8 @@
 import itertools
 import random
 import unicodedata
+from fractions import Fraction
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +199,18 @@ def test_truncation_end_to_end(spark, rows):
     assert truncation.cut_values(d.limit(0)).count() == 0
 
 
+def test_truncation_of_very_many_equal_ends(spark):
+    """An end that thousands of texts have, and nothing else: its likelihood is nearer to 1 than a double can tell."""
+    one = "Sleep is rest."
+    d = spark.range(20_000).select(F.lit("t").alias("src_table"), F.col("id").cast("string").alias("row_key"), F.lit("en").alias("lang"), F.lit(one).alias("text"), F.lit(None).cast("string").alias("follow"), F.lit(False).alias("plain_end"), F.lit("m").alias("source"))
+    got = truncation.cut_values(d).groupBy("log_odds", "cut", *[f"{c}{o}" for o in range(5) for c in "ec"]).count().collect()
+    q = Fraction(98, 100)
+    for o in range(5):
+        q = (got[0][f"c{o}"] + 3 * q) / (got[0][f"e{o}"] + got[0][f"c{o}"] + 3)
+    assert len(got) == 1 and got[0]["count"] == 20_000 and not got[0].cut and q < 1e-17
+    assert got[0].log_odds == pytest.approx(float(-log(q.numerator) + log(q.denominator)))
+
+
 def test_thresholds_are_fitted_by_column_and_language(spark, monkeypatch):
     """Planted ends far below, own ends far above: the threshold lies between; few values keep the default."""
     per = [("a", "en", 0, 1.0)] * 150 + [("a", "en", 1, -2.6)] * 150 + [("a", "de", 0, -1.6)] * 150 + [("a", "de", 1, -2.9)] * 150 + [("b", "en", 0, 1.0)] * 5
