@@ -4,15 +4,15 @@ Method: a backward character n-gram model.  Read back from any point of a senten
 and 40 characters are contexts; over all texts of both tables it is counted how often each context is
 the end of a sentence and how often a sentence goes on behind it.  For the final context of every value
 the interpolated likelihood of an end is held against that of a continuation, and the log-odds are
-thresholded per language and column.  Thresholds are fitted (``fitted``) on values that end with a mark: their own
-ends are whole, and each is also cut at a place inside its last sentence that a digest of its key names.
+thresholded per language and column.  Thresholds are fitted (``fitted``) on all values that end with a mark: their
+own ends are whole, and each is also cut at a place inside its last sentence that a digest of its key names.
 
 Headings, captions, lists, references and figures (``plain_end``) need no end mark, so there only a cut within a
 word counts: the letters since the last blank are never a word of their own and ``WORD_LEAST`` times the start
 of a longer one.  Their texts take part in all counts.
 
 Scale: contexts are 64-bit digests.  Only contexts that are the final context of some value matter, so a
-bitmap of fixed size (``BITS``; 0.5 MB whatever the input) drops nearly all others before the shuffle; a
+bitmap (by the number of contexts, ``BITS``: 0.5 to 16 MB) drops nearly all others before the shuffle; a
 full bitmap costs time, never a result.  Counts are summed per task, then by digest; values meet their
 contexts in one shuffle join on the digest.
 
@@ -33,15 +33,17 @@ from lectorium.llm.sentences import sentence_spans
 
 ORDERS = (4, 8, 16, 24, 40)
 JUNCTION = 2  # index of the order that looks across two blocks
-BITS = 22
+BITS = (22, 27)
 PRIOR, SMOOTH = 0.02, 3.0
 DEBRIS_MALUS = 2.0
 #: Log-odds among which thresholds are chosen, and that of a column and language with fewer than ``FIT_LEAST`` values.
 THRESHOLDS = tuple(-3.0 + 0.25 * k for k in range(13))
 NEAR = 0.005
 DEFAULT_THRESHOLD = -1.0
-#: Values (about) on which thresholds are fitted, and the fewest a threshold of its own takes.
-FIT_VALUES, FIT_LEAST = 40_000, 100
+#: The fewest whole and planted ends that a threshold of its own takes.
+FIT_LEAST = 100
+#: Values whose contexts are counted at once, so memory does not depend on the size of Arrow batches.
+AT_ONCE = 2_000
 WORD_LEAST = 3
 #: A numbered line is a heading if it is shorter; a longer one is judged as prose.
 HEADING = 90
@@ -130,8 +132,8 @@ class Hashed:
         return _mix((self.sums[place + 1] - self.sums[lo]) * self.pow[place], order)
 
 
-def final_keys(f: pd.DataFrame, planted_share: float = 0.0) -> pd.DataFrame:
-    """One row per value and context: order, digest; junction rows have order -1.  A part of the marked values
+def final_keys(f: pd.DataFrame) -> pd.DataFrame:
+    """One row per value and context: order, digest; junction rows have order -1.  Every marked value
     comes again with an end planted inside its last sentence (``planted`` 1)."""
     zs, rows = [], []
     for i, (sents, nxt, debris, marked, plain) in enumerate(zip(f.sents, f.follow, f.debris, f.marked, f.plain_end)):
@@ -141,8 +143,8 @@ def final_keys(f: pd.DataFrame, planted_share: float = 0.0) -> pd.DataFrame:
             tail = tail[:8]
         rows.append((i, 0, debris, marked, len(z), len(tail), bool(nxt) and nxt.lstrip()[:1].islower(), plain, not _CJK.search(z)))
         zs.append(z + tail)
-        key = xxhash.xxh64_intdigest(str(f.row_key.iloc[i]))
-        if marked and not debris and not plain and len(z) > 12 and key % 1_000_003 < planted_share * 1_000_003:
+        if marked and not debris and not plain and len(z) > 12:
+            key = xxhash.xxh64_intdigest(str(f.row_key.iloc[i]))
             rows.append((i, 1, False, False, 8 + key // 1_000_003 % (len(z) - 9), 0, False, False, False))
             zs.append(z)
     if not zs:
@@ -184,7 +186,7 @@ def context_counts(texts: list[str], marks: list[bool], bitmap: np.ndarray, stor
     every, is_end, word_ends = every[use], is_end[use], word_ends[use]
     for o in range(len(ORDERS) + 1):
         d, is_end = (h.at(every, o), is_end) if o < WORD else (h.in_word(every), word_ends)
-        bit = d >> np.uint64(64 - BITS)
+        bit = d >> np.uint64(65 - (len(bitmap) * 64).bit_length())
         hit = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
         u, at = np.unique(d[hit], return_inverse=True)
         e = np.bincount(at, is_end[hit], len(u)).astype(np.int64)
@@ -220,12 +222,11 @@ def fitted(per, odds):
     return out
 
 
-def cut_values(values, planted_share: float = 1.0):
+def cut_values(values):
     """``values``: src_table, row_key, lang, text, follow (start of the block behind, or null), plain_end,
     source.
 
-    Gives every value: ``log_odds``, ``threshold`` and ``cut``.  ``planted_share``: part of the values on which
-    thresholds are fitted (``FIT_VALUES`` over their number).
+    Gives every value: ``log_odds``, ``threshold`` and ``cut``.
     """
     from pyspark.sql import functions as F
 
@@ -243,32 +244,42 @@ def cut_values(values, planted_share: float = 1.0):
 
     def keys(frames):
         for f in frames:
-            yield final_keys(f, planted_share)
+            yield final_keys(f)
 
     at = spread(values).mapInPandas(keys, "src_table string, row_key string, lang string, source string, planted int, ord int, digest long, debris boolean, marked boolean, lower_next boolean, plain_end boolean, in_word boolean")
     at = stored(at)
-    bit = F.shiftrightunsigned("digest", 64 - BITS)
-    words = at.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(digest, {64 - BITS}) % 64 as int))").alias("b"))
-    bitmap = np.zeros(1 << BITS - 6, np.uint64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas().itertuples():  # at most 2^16 rows
-        bitmap[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
+    bits = min(max((8 * at.count()).bit_length(), BITS[0]), BITS[1])
+    bit = F.shiftrightunsigned("digest", 64 - bits)
+    words = at.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(digest, {64 - bits}) % 64 as int))").alias("b"))
+
+    def packed(frames):
+        for f in frames:
+            yield pd.DataFrame({"part": f.part, "w": [np.array([x["w"] for x in r], np.int32).tobytes() for r in f.words], "b": [np.array([x["b"] for x in r], np.int64).tobytes() for r in f.words]})
+
+    parts = words.groupBy("w").agg(F.bit_or("b").alias("b")).groupBy(F.shiftright("w", 13).alias("part")).agg(F.collect_list(F.struct("w", "b")).alias("words"))
+    bitmap = np.zeros(1 << bits - 6, np.uint64)
+    for r in parts.mapInPandas(packed, "part int, w binary, b binary").toPandas().itertuples():  # at most 256 rows
+        bitmap[np.frombuffer(r.w, np.int32)] = np.frombuffer(r.b, np.uint64)
+
+    def pieces(one):
+        for i in range(0, len(one[0]), 250_000):
+            yield pd.DataFrame({c: x[i : i + 250_000] for c, x in zip(("digest", "e", "c"), one)})
 
     def count(frames):
         store, held = [], 0
-        for f in frames:
+        for f in (f.iloc[i : i + AT_ONCE] for f in frames for i in range(0, len(f), AT_ONCE)):
             before = len(store)
             context_counts(f.sents.tolist(), f.marked.tolist(), bitmap, store)
             held += sum(len(x[0]) for x in store[before:])
-            if held > 4_000_000:
+            if held > 2_000_000:
                 one = merged(store)
-                if len(one[0]) > 2_000_000:
-                    yield pd.DataFrame({"digest": one[0], "e": one[1], "c": one[2]})
+                if len(one[0]) > 1_000_000:
+                    yield from pieces(one)
                     store, held = [], 0
                 else:
                     store, held = [one], len(one[0])
         if store:
-            one = merged(store)
-            yield pd.DataFrame({"digest": one[0], "e": one[1], "c": one[2]})
+            yield from pieces(merged(store))
 
     counts = spread(values.select("sents", "marked")).mapInPandas(count, "digest long, e long, c long").groupBy("digest").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
     both = at.join(counts, "digest", "left").fillna(0, ["e", "c"])

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectorium.llm import lookalike, repetition, scannoise, truncation
+from lectorium.llm import lookalike, queries, repetition, scannoise, truncation
 from lectorium.llm.sentences import sentence_spans, with_sentences
 
 
@@ -219,6 +219,23 @@ def test_thresholds_are_fitted_by_column_and_language(spark, monkeypatch):
     assert set(got) == {("a", "en"), ("a", "de")} and -2.6 < got["a", "en"] <= 1 and -2.9 < got["a", "de"] <= -1.6
 
 
+def test_thresholds_are_fitted_on_every_value(spark, monkeypatch, tmp_path):
+    """Each of 60,000 whole values gives a whole and a planted end to the fit."""
+    d = spark.range(60_000).withColumns({"paper_id": F.col("id").cast("string"), "block_id": F.col("id").cast("string"), "block_order": F.lit(0), "text": F.lit("Sleep is rest and nothing more.")})
+    d = d.withColumns({"block_role": F.lit("paragraph"), "producer": F.lit("m"), "updated_at": F.current_timestamp()})
+    d.write.parquet(str(tmp_path / "layout_blocks.parquet"))
+    d.limit(0).select(F.col("id").alias("result_id"), F.col("updated_at").alias("ingested_at"), *[F.col("text").alias(c) for c in ("target_language", "text", "model", "model_version")]).write.parquet(str(tmp_path / "translation_results.parquet"))
+    seen, fitted = {}, truncation.fitted
+
+    def spy(per, odds):
+        seen.update({r.planted: r["count"] for r in per.groupBy("planted").count().collect()})
+        return fitted(per, odds)
+
+    monkeypatch.setattr(truncation, "fitted", spy)
+    assert queries.p3_found(spark, str(tmp_path)).count() == 0
+    assert seen == {0: 60_000, 1: 60_000}
+
+
 def test_skeletons_and_units():
     assert scannoise.skeleton("w0rking") == scannoise.skeleton("working") and scannoise.skeleton("cornments") == scannoise.skeleton("comments")
     assert scannoise.skeleton("reaclied") == scannoise.skeleton("reached")
