@@ -2,6 +2,8 @@ import string
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from lectorium.llm import subjects
 
@@ -61,3 +63,12 @@ def test_language_is_that_of_the_whole_text():
     english, german = "The court held that the claim was late. ", "Der Richter und die Kammer fanden, dass die Klage nicht zulässig ist. "
     assert subjects.language(english * 60 + german * 200) == "de"
     assert subjects.language(german * 40 + english * 400) == "en"
+
+
+def test_acceptance_is_calibrated_on_every_labelled_document(spark):
+    """45,000 documents: of the 20,000 with the least digests the further subject is wrong at a gain of 0.28, of all others right at 0.12."""
+    d = spark.range(45_000).withColumnRenamed("id", "doc_id").withColumn("few", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"))) <= 20_000)
+    row = lambda subject, gain, mass: d.select("doc_id", F.lit(subject).alias("subject"), F.lit(6).alias("n_sentences"), F.lit(3).alias("n"), gain.alias("gain"), F.lit(mass).alias("mass"))
+    ev = row(0, F.lit(0.6), 0.7).unionByName(row(1, F.when(F.col("few"), 0.28).otherwise(0.12), 0.3))
+    labels = d.select("doc_id", F.lit(0).alias("subject")).unionByName(d.where("NOT few").select("doc_id", F.lit(1).alias("subject")))
+    assert subjects.calibrated(ev, labels) == (0.11, 2)
