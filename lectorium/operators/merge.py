@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectorium.functions.stretches import bits_of, exact, found
 from lectorium.functions.text import normal_block_text
 from lectorium.operators.versions import latest
-from lectorium.session import stored
+from lectorium.session import small, spread, stored
 
 
 def prefer_filled(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -35,24 +39,120 @@ def coalesced_updates(updates: DataFrame, keys: Sequence[str], seq: str) -> Data
     return latest(updates, list(keys), [seq])
 
 
-#: Signs of a text by whose digest containment across pages is looked for, and the distance of near boxes.
-ANCHOR, NEAR = 16, 12
-SCORE_LEAST = 6
+#: Distance of near boxes, the least score of a match, and the least of pairs that only equal blocks of one page reach.
+NEAR = 12
+SCORE_LEAST, SCORE_SAME_PAGE = 6, 15
+#: Powers of two of the bits in the bitmap of texts.
+BITS = (16, 28)
+#: Blocks without an equal on their page up to which their keys are broadcast.
+FEW = 200_000
 
 
-def _within(o: DataFrame, n: DataFrame, doc: str, inner: str, outer: str) -> DataFrame:
-    """Ids of blocks of different pages of which the inner's text stands inside the outer's.
+def sides(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
+    """Blocks of both sides as one frame: the columns of ``pair_scores``, and ``side`` (1 old, 2 new, 3 both)."""
+    cols = [doc, "id", "kind", "page", "text", "section", "box_page", "x", "y"]
+    return old.select(*cols, F.lit(1).alias("side")).unionByName(new.select(*cols, F.lit(2).alias("side")))
+
 
-    The first signs of the inner text are looked up among all stretches of that length of the outer texts, so
-    no document is paired with itself; only lengths that occur are opened."""
-    size = F.least(F.length(f"{inner}_norm"), F.lit(ANCHOR))
-    i = (o if inner == "o" else n).where(F.length(f"{inner}_norm") > 0).withColumn("_len", size).withColumn("_key", F.xxhash64(F.substring(f"{inner}_norm", 1, ANCHOR)))
-    lengths = i.select(doc, "_len").distinct()
-    u = (n if inner == "o" else o).join(lengths, doc).where(F.length(f"{outer}_norm") >= F.col("_len"))
-    u = u.select("*", F.explode(F.sequence(F.lit(1), F.length(f"{outer}_norm") - F.col("_len") + 1)).alias("_at"))
-    u = u.withColumn("_key", F.xxhash64(F.substring(F.col(f"{outer}_norm"), F.col("_at"), F.col("_len")))).drop("_at").distinct()
-    found = i.join(u, [doc, "_len", "_key"]).where(F.contains(F.col(f"{outer}_norm"), F.col(f"{inner}_norm")) & (F.col("o_page") != F.col("n_page")) & (F.col("o_norm") != F.col("n_norm")))
-    return found.select(doc, "o_id", "n_id").distinct()
+def _normal(blocks: DataFrame, doc: str) -> DataFrame:
+    """Blocks with their text in its normal form, which is worked out once, and its digest; none for empty texts."""
+    d = stored(blocks.select(doc, "id", "side", "kind", "page", "section", "box_page", "x", "y", F.coalesce(normal_block_text(F.col("text")), F.lit("")).alias("norm")))
+    return d.withColumn("t", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))))
+
+
+#: The groups in which texts are looked for in each other: a type of a document, a page, and the page of a box.
+GROUPS = {"g1": (1, "kind"), "g2": (2, "page"), "g3": (2, "box_page")}
+
+
+def _groups_of(f: pd.DataFrame) -> list[np.ndarray]:
+    return [f[g].to_numpy().view(np.uint64) for g in GROUPS]
+
+
+def _bitmap(d: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of all texts; tasks send the places they set, workers put them together."""
+
+    def places(frames):
+        held: list[np.ndarray] = []
+        for f in frames:
+            for i in range(0, len(f), 4096):
+                g = f.iloc[i : i + 4096]
+                held.append(bits_of(g.norm.tolist(), _groups_of(g), bits))
+        if held:
+            at = np.unique(np.concatenate(held))
+            cut = np.flatnonzero(np.diff(at >> np.uint64(16), prepend=np.uint64(1 << 50)))
+            low = (at & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pd.DataFrame({"part": (at[cut] >> np.uint64(16)).astype(np.int32), "low": [x.tobytes() for x in np.split(low, cut[1:])]})
+
+    def packed(frames):
+        for f in frames:
+            out = []
+            for lows in f.lows:
+                set_ = np.zeros(1 << 16, np.uint8)
+                for x in lows:
+                    set_[np.frombuffer(x, np.uint16)] = 1
+                out.append(np.packbits(set_, bitorder="little").tobytes())
+            yield pd.DataFrame({"part": f.part, "words": out})
+
+    parts = d.select("norm", *GROUPS).mapInPandas(places, "part int, low binary").groupBy("part").agg(F.collect_list("low").alias("lows"))
+    bitmap = np.zeros(1 << bits - 6, np.uint64)
+    for r in parts.mapInPandas(packed, "part int, words binary").toPandas().itertuples():  # at most 4096 rows of 8 KB
+        bitmap[r.part << 10 : r.part + 1 << 10] = np.frombuffer(r.words, np.uint64)
+    return bitmap
+
+
+def _stretches(d: DataFrame, doc: str) -> DataFrame:
+    """Blocks with the digests (``t``) of stretches of their text that may be another block's text."""
+    d = d.where("norm <> ''").withColumns({g: F.xxhash64(F.lit(k), F.col(doc), F.col(c)) for g, (k, c) in GROUPS.items()}).drop("t")
+    bits = min(max((32 * d.count()).bit_length(), BITS[0]), BITS[1])
+    bitmap = _bitmap(d, bits)
+    cols = [c for c in d.columns if c not in ("norm", *GROUPS)]
+
+    def run(frames):
+        for f in frames:
+            for i in range(0, len(f), 4096):
+                g = f.iloc[i : i + 4096]
+                texts = g.norm.tolist()
+                hits = {(k, texts[k][p : p + n]) for k, p, n in found(texts, _groups_of(g), bitmap)}
+                if hits:
+                    rows, parts = zip(*hits)
+                    yield g.iloc[list(rows)][cols].assign(t=[exact(x) for x in parts])
+
+    schema = T.StructType([*[d.schema[c] for c in cols], T.StructField("t", T.BinaryType())])
+    return spread(d).mapInPandas(run, schema)
+
+
+def _scored(a: DataFrame, b: DataFrame, on: Column, doc: str, text: int) -> DataFrame:
+    """Pairs of rows of ``a`` as old and of ``b`` as new, with their score; near: whether their boxes are."""
+    o, n = a.alias("o"), b.alias("n")
+    j = o.join(n, (F.col(f"o.{doc}") == F.col(f"n.{doc}")) & on & (F.col("o.side").bitwiseAND(1) * F.col("n.side").bitwiseAND(2) > 0))
+    same = lambda c, w: F.when(F.col(f"o.{c}") == F.col(f"n.{c}"), w).otherwise(0)
+    section = F.when((F.col("o.section") != "") & (F.col("o.section") == F.col("n.section")), 1).otherwise(0)
+    near = F.coalesce(_near(), F.lit(False))
+    score = same("kind", 2) + same("page", 2) + F.lit(text) + section + F.when(near, 3).otherwise(0)
+    return j.select(F.col(f"o.{doc}").alias(doc), F.col("o.id").alias("o_id"), F.col("n.id").alias("n_id"), score.cast("int").alias("score"), near.alias("near"))
+
+
+def _near() -> Column:
+    return (F.col("o.box_page") == F.col("n.box_page")) & (F.abs(F.col("o.x") - F.col("n.x")) < NEAR) & (F.abs(F.col("o.y") - F.col("n.y")) < NEAR)
+
+
+def scored_pairs(blocks: DataFrame, doc: str) -> DataFrame:
+    """Pairs of old and new blocks (see ``sides``) that reach ``SCORE_LEAST``, once each, with their score.
+
+    Four kinds of pairs that have none in common: equal texts meet on a digest; a text within another meets it on
+    the digest of that stretch, which a pass over the texts finds, so no text leaves its task; near boxes meet on
+    their page, and those of them that the others hold leave."""
+    return _all_pairs(_normal(blocks, doc), doc)
+
+
+def _all_pairs(d: DataFrame, doc: str) -> DataFrame:
+    row = d.drop("norm")
+    same_t, group = F.col("o.t") == F.col("n.t"), (F.col("o.kind") == F.col("n.kind")) | (F.col("o.page") == F.col("n.page")) | _near()
+    hits = stored(_stretches(d, doc))
+    within = _scored(row, hits, same_t & group, doc, 4).unionByName(_scored(hits, row, same_t & group, doc, 4))
+    close = _scored(row, row, _near() & ~F.coalesce(same_t, F.lit(False)), doc, 0).where(F.col("score") >= SCORE_LEAST)
+    close = close.join(within.where("near").select(doc, "o_id", "n_id"), [doc, "o_id", "n_id"], "left_anti")
+    return _scored(row, row, same_t, doc, 8).unionByName(within).unionByName(close.select(doc, "o_id", "n_id", "score", "near")).drop("near")
 
 
 def pair_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
@@ -60,42 +160,59 @@ def pair_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
 
     type 2, page 2, equal text 8, else one text within the other 4, same section 1, near box on one page 3; texts
     are compared in their normal form, and empty texts and sections are equal to none.  old, new: id, kind, page,
-    text, section, box_page, x, y.  Pairs are those that can reach ``SCORE_LEAST`` or share a page: on (document,
-    page), on (document, box page), on (document, text), and on containment through digests of first signs.
+    text, section, box_page, x, y.  Pairs are those that reach ``SCORE_LEAST`` or share a page.
     """
-    cols = ["id", "kind", "page", "section", "box_page", "x", "y"]
-    side = lambda d, p: d.select(doc, *[F.col(c).alias(f"{p}_{c}") for c in cols], F.coalesce(normal_block_text(F.col("text")), F.lit("")).alias(f"{p}_norm"))
-    o, n = side(old, "o"), side(new, "n")
-    meet = lambda a, b: o.withColumn("_k", F.col(a)).join(n.withColumn("_k", F.col(b)), [doc, "_k"])
-    ids = [doc, "o_id", "n_id"]
-    pairs = meet("o_page", "n_page").select(ids)
-    pairs = pairs.unionByName(meet("o_box_page", "n_box_page").where("o_page <> n_page AND abs(o_x - n_x) < 12 AND abs(o_y - n_y) < 12").select(ids))
-    pairs = pairs.unionByName(meet("o_norm", "n_norm").where("o_norm <> '' AND o_page <> n_page").select(ids))
-    pairs = pairs.unionByName(_within(o, n, doc, "o", "n")).unionByName(_within(o, n, doc, "n", "o")).distinct()
-    d = pairs.join(o, [doc, "o_id"]).join(n, [doc, "n_id"])
-    a, b = F.col("o_norm"), F.col("n_norm")
-    text = F.when((a == "") | (b == ""), 0).when(a == b, 8).when(F.contains(a, b) | F.contains(b, a), 4).otherwise(0)
-    same = lambda c, w: F.when(F.col(f"o_{c}") == F.col(f"n_{c}"), w).otherwise(0)
-    section = F.when((F.col("o_section") != "") & (F.col("o_section") == F.col("n_section")), 1).otherwise(0)
-    near = F.when((F.col("o_box_page") == F.col("n_box_page")) & (F.abs(F.col("o_x") - F.col("n_x")) < NEAR) & (F.abs(F.col("o_y") - F.col("n_y")) < NEAR), 3).otherwise(0)
-    return d.select(*ids, (same("kind", 2) + same("page", 2) + text + section + near).cast("int").alias("score"))
+    d = _normal(sides(old, new, doc), doc)
+    row = d.drop("norm")
+    both = _all_pairs(d, doc).unionByName(_scored(row, row, F.col("o.page") == F.col("n.page"), doc, 0).drop("near"))
+    return both.groupBy(doc, "o_id", "n_id").agg(F.max("score").alias("score"))
 
 
 def reconciled(pairs: DataFrame, doc: str, least: int = SCORE_LEAST) -> DataFrame:
     """Greedy one-to-one matching per document, best score first, ties by (old, new) id.
 
-    A pair that is the best of both its blocks is what the greedy order takes; such pairs are taken at once,
-    what shares a block with them leaves, until none is left.  No task holds a document, and every round at
-    least the best pair of each document goes."""
-    left = stored(pairs.where(F.col("score") >= least).select(doc, "o_id", "n_id", "score"))
-    done = None
-    while left.take(1):
-        order = F.struct((-F.col("score")).alias("s"), "o_id", "n_id")
-        best = lambda c: left.groupBy(doc, c).agg(F.min(order).alias("_b")).select(doc, F.col("_b.o_id").alias("o_id"), F.col("_b.n_id").alias("n_id"), (-F.col("_b.s")).alias("score"))
-        taken = stored(best("o_id").join(best("n_id"), [doc, "o_id", "n_id", "score"], "left_semi"))
-        done = taken if done is None else done.unionByName(taken)
-        left = stored(left.join(taken.select(doc, "o_id"), [doc, "o_id"], "left_anti").join(taken.select(doc, "n_id"), [doc, "n_id"], "left_anti").select(doc, "o_id", "n_id", "score"))
-    return left if done is None else done
+    The pairs of a document pass in that order through one task, which holds the ids that are taken, not the
+    pairs."""
+    order = [F.col(doc), F.desc("score"), F.col("o_id"), F.col("n_id")]
+    d = pairs.where(F.col("score") >= least).select(doc, "o_id", "n_id", "score")
+    return d.repartition(doc).sortWithinPartitions(*order).mapInPandas(partial(_greedy, 1), d.schema)
+
+
+def _greedy(keys: int, frames):
+    """Rows whose old and new id no row before them took; of one (doc, ...) after the other, the first columns."""
+    at, old, new = None, set(), set()
+    for f in frames:
+        keep = []
+        for k, (*key, o, n) in enumerate(zip(*[f.iloc[:, c] for c in range(keys)], f.o_id, f.n_id)):
+            if key != at:
+                at, old, new = key, set(), set()
+            if o not in old and n not in new:
+                old.add(o)
+                new.add(n)
+                keep.append(k)
+        yield f.iloc[keep]
+
+
+def reconciled_blocks(blocks: DataFrame, doc: str) -> DataFrame:
+    """``reconciled`` over all pairs of blocks (see ``sides``), without listing them.
+
+    From ``SCORE_SAME_PAGE`` on a pair is of one page and type, with equal texts and near boxes.  The greedy order
+    takes those first, so they are matched page by page; only blocks that are then left meet each other."""
+    blocks = _normal(blocks, doc)
+    cell = [doc, "page", "kind", "t"]
+    row = blocks.drop("norm").dropna(subset=cell)
+    cells = row.groupBy(*cell).agg(F.collect_list(F.struct("id", "side", "section", "box_page", "x", "y")).alias("all"))
+    o = cells.select(*cell, F.explode("all").alias("o"), "all").where("o.side IN (1, 3)")
+    p = o.select(*cell, "o", F.explode("all").alias("n")).where("n.side IN (2, 3)").where(_near())
+    section = F.when((F.col("o.section") != "") & (F.col("o.section") == F.col("n.section")), 1).otherwise(0)
+    p = p.select(*cell, F.col("o.id").alias("o_id"), F.col("n.id").alias("n_id"), (F.lit(SCORE_SAME_PAGE) + section).alias("score"))
+    p = p.repartition(*cell).sortWithinPartitions(*cell, F.desc("score"), "o_id", "n_id")
+    first = stored(p.mapInPandas(partial(_greedy, len(cell)), p.schema).select(doc, "o_id", "n_id", "score"))
+    keys = blocks.select(doc, "id", "side")
+    left = lambda c, side: keys.where(F.col("side").bitwiseAND(side) > 0).select(doc, "id").join(first.select(doc, F.col(c).alias("id")), [doc, "id"], "left_anti").withColumn("_side", F.lit(side))
+    rest = stored(left("o_id", 1).unionByName(left("n_id", 2)).groupBy(doc, "id").agg(F.bit_or("_side").alias("_side")))
+    d = blocks.join(small(rest, FEW), [doc, "id"]).withColumn("side", F.col("side").bitwiseAND(F.col("_side"))).where("side > 0").drop("_side")
+    return first.unionByName(reconciled(_all_pairs(stored(d), doc), doc))
 
 
 def remapped(df: DataFrame, matches: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

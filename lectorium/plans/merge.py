@@ -46,11 +46,18 @@ def _(spark, root):
 
 
 def _snapshots(spark, root):
+    """The first and the last version of each block, in one row where they are the same."""
     b = table(spark, root, "layout_blocks", "paper_id", "block_id", "block_role", "page_start", "text", "column_side", "bbox", "updated_at")
-    s = F.struct("block_role", "page_start", "text", "column_side", F.col("bbox.page").alias("box_page"), F.col("bbox.x_left").alias("x"), F.col("bbox.y_top").alias("y"))
-    g = b.groupBy("paper_id", "block_id").agg(F.min_by(s, F.struct("updated_at", F.coalesce("text", F.lit("")))).alias("f"), F.max_by(s, F.struct("updated_at", F.coalesce("text", F.lit("")))).alias("l"))
-    pick = lambda c, p: g.select("paper_id", F.concat(F.lit(p), "block_id").alias("id"), F.col(f"{c}.block_role").alias("kind"), F.col(f"{c}.page_start").alias("page"), F.col(f"{c}.text").alias("text"), F.col(f"{c}.column_side").alias("section"), F.col(f"{c}.box_page").alias("box_page"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y"))
-    return pick("f", ""), pick("l", "n-")
+    s = F.struct(F.col("block_role").alias("kind"), F.col("page_start").alias("page"), "text", F.col("column_side").alias("section"), F.col("bbox.page").alias("box_page"), F.col("bbox.x_left").alias("x"), F.col("bbox.y_top").alias("y"))
+    at = F.struct("updated_at", F.coalesce("text", F.lit("")))
+    g = b.groupBy("paper_id", "block_id").agg(F.min_by(s, at).alias("f"), F.max_by(s, at).alias("l"))
+    side = lambda c, n: F.struct(F.col(c).alias("v"), F.lit(n).alias("side"))
+    v = F.explode(F.when(F.col("f") == F.col("l"), F.array(side("f", 3))).otherwise(F.array(side("f", 1), side("l", 2))))
+    return g.select("paper_id", F.col("block_id").alias("id"), v.alias("r")).select("paper_id", "id", "r.v.*", "r.side")
+
+
+def _reconciled(spark, root):
+    return M.reconciled_blocks(_snapshots(spark, root), "paper_id").withColumn("n_id", F.concat(F.lit("n-"), "n_id"))
 
 
 @query(
@@ -61,25 +68,25 @@ def _snapshots(spark, root):
     "SELECT score, count(*) n, count(DISTINCT o_id) n_old FROM q GROUP BY 1",
 )
 def _(spark, root):
-    p = M.pair_scores(*_snapshots(spark, root), "paper_id").where(F.col("score") >= M.SCORE_LEAST)
+    p = M.scored_pairs(_snapshots(spark, root), "paper_id")
     return p.groupBy("score").agg(F.count("*").alias("n"), F.countDistinct("o_id").alias("n_old"))
 
 
 @query("rec_02_reconciled")
 def _(spark, root):
-    return M.reconciled(M.pair_scores(*_snapshots(spark, root), "paper_id"), "paper_id")
+    return _reconciled(spark, root)
 
 
 @query("rec_03_remapped")
 def _(spark, root):
-    m = M.reconciled(M.pair_scores(*_snapshots(spark, root), "paper_id"), "paper_id")
+    m = _reconciled(spark, root)
     return M.remapped(notes(spark, root, "paper_id", "block_id"), m, ["paper_id"], "block_id").select("id", "paper_id", "block_id")
 
 
 @query("rec_03_positions")
 def _(spark, root):
     """The last read block of each paper under its new id."""
-    m = M.reconciled(M.pair_scores(*_snapshots(spark, root), "paper_id"), "paper_id")
+    m = _reconciled(spark, root)
     last = notes(spark, root, "paper_id", "block_id", "updated_at").groupBy("paper_id").agg(F.max_by("block_id", F.struct("updated_at", "id")).alias("block_id"))
     return M.remapped(last, m, ["paper_id"], "block_id").select("paper_id", "block_id")
 

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from lectorium import session
 from lectorium.functions import flags as X
 from lectorium.operators import documents as D
 from lectorium.operators import merge as M
@@ -55,3 +58,52 @@ def test_pair_scores_follow_their_rules(spark):
     assert M.pair_scores(old.limit(0), new, "doc").count() == 0
     m = M.reconciled(M.pair_scores(old, new, "doc"), "doc").collect()
     assert [(r.o_id, r.n_id) for r in m] == [("a", "x")]
+
+
+BLOCK = "doc string, id string, kind string, page int, text string, section string, box_page int, x double, y double"
+
+
+def test_equal_blocks_are_matched_without_rounds(spark):
+    """Equal texts of one document tie: each used to take a round of stored tables."""
+    n = 120
+    p = spark.createDataFrame([("d", f"o{a:03}", f"n{b:03}", 10) for a in range(n) for b in range(n)], "doc string, o_id string, n_id string, score int")
+    before = len(session._STORED)
+    got = M.reconciled(p, "doc")
+    assert sorted((r.o_id, r.n_id) for r in got.collect()) == [(f"o{k:03}", f"n{k:03}") for k in range(n)]
+    assert len(session._STORED) == before
+
+
+def by_hand(old: list, new: list) -> dict:
+    """Scores by the rules, pair by pair."""
+    norm = lambda t: " ".join((t or "").lower().split())
+    out = {}
+    for o in old:
+        for w in new:
+            a, b = norm(o[4]), norm(w[4])
+            s = 2 * (o[2] == w[2]) + 2 * (o[3] == w[3]) + (0 if not a or not b else 8 if a == b else 4 if a in b or b in a else 0)
+            s += bool(o[5] and o[5] == w[5]) + 3 * (o[6] == w[6] and abs(o[7] - w[7]) < 12 and abs(o[8] - w[8]) < 12)
+            if o[0] == w[0] and s >= 6:
+                out[o[0], o[1], w[1]] = s
+    return out
+
+
+def some_blocks(seed: int, prefix: str, n: int = 150) -> list:
+    r = random.Random(seed)
+    words = ["memory", "sleep", "Results", "of", "a", "記憶", "x", "The model of memory and sleep was"]
+    return [(f"d{r.randrange(3)}", f"{prefix}{k}", r.choice("ph"), r.randrange(1, 5), r.choice([None, "", *[" ".join(r.choices(words, k=r.randrange(1, 6))) for _ in range(4)]]), r.choice([None, "", "l"]), r.randrange(1, 5), r.uniform(0, 40), r.uniform(0, 40)) for k in range(n)]
+
+
+def test_pairs_and_matches_agree_with_all_pairs(spark):
+    old, new = some_blocks(1, "o"), some_blocks(2, "n")
+    new += [(d, "n" + i, *rest) for d, i, *rest in old[::2]]
+    want = by_hand(old, new)
+    blocks = M.sides(spark.createDataFrame(old, BLOCK), spark.createDataFrame(new, BLOCK), "doc")
+    got = M.scored_pairs(blocks, "doc").collect()
+    assert len(got) == len(want) and {(r.doc, r.o_id, r.n_id): r.score for r in got} == want
+    greedy, used = [], set()
+    for (d, o, w), s in sorted(want.items(), key=lambda x: (-x[1], x[0])):
+        if not used & {(d, o), (d, w)}:
+            used |= {(d, o), (d, w)}
+            greedy.append((d, o, w, s))
+    assert sorted(map(tuple, M.reconciled_blocks(blocks, "doc").collect())) == sorted(greedy)
+    assert M.reconciled_blocks(blocks.limit(0), "doc").count() == 0
