@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectorium.operators.ordered import with_carried
+from lectorium.session import small, spread
+
+#: Markers of affiliations up to which they are broadcast.
+MOST_MARKS = 200_000
 
 
 def block_confidence(blocks: DataFrame) -> DataFrame:
@@ -55,15 +59,22 @@ def affiliated(authors: DataFrame, affiliations: DataFrame, doc: str) -> DataFra
     """AFFILIATED_WITH edges: by shared marker, else the only affiliation, else by place when counts agree.
 
     authors, affiliations: doc, id, ord, markers (array).
-    """
-    n = affiliations.groupBy(doc).agg(F.count("*").alias("n_aff"))
-    m = authors.groupBy(doc).agg(F.count("*").alias("n_aut"))
-    b = affiliations.select(doc, F.col("id").alias("target"), F.col("ord").alias("b_ord"), F.col("markers").alias("b_markers"))
-    j = authors.join(b, doc).join(n, doc).join(m, doc)
-    shared = F.arrays_overlap("markers", "b_markers")
-    j = j.withColumn("_any", F.max(F.coalesce(shared, F.lit(False)).cast("int")).over(Window.partitionBy(doc, "id")))
-    edge = shared | ((F.col("_any") == 0) & ((F.col("n_aff") == 1) | ((F.col("n_aff") == F.col("n_aut")) & (F.col("ord") == F.col("b_ord")))))
-    return j.where(edge).select(doc, F.col("id").alias("source"), "target")
+    Rows meet on (doc, marker), and a pair with several shared markers is kept at the least of them; authors without
+    a shared marker are found before they are paired, so no document is paired with itself."""
+    marks = F.array_distinct(F.filter("markers", lambda m: m.isNotNull()))
+    a = spread(authors.select(doc, F.col("id").alias("source"), F.col("ord").alias("ord"), marks.alias("a_marks")))
+    b = affiliations.select(doc, F.col("id").alias("target"), F.col("ord").alias("ord"), marks.alias("b_marks"))
+    on = b.select(doc, "target", "b_marks", F.explode("b_marks").alias("mark"))
+    once = (F.size("a_marks") == 1) | (F.size("b_marks") == 1) | (F.col("mark") == F.array_min(F.array_intersect("a_marks", "b_marks")))
+    marked = a.withColumn("mark", F.explode("a_marks"))
+    edges = marked.join(small(on, MOST_MARKS), [doc, "mark"]).where(once).select(doc, "source", "target")
+    has = marked.join(small(on.select(doc, "mark").distinct(), MOST_MARKS), [doc, "mark"], "left_semi").select(doc, "source").distinct()
+    x, y = a.alias("x"), has.alias("y")
+    bare = x.join(y, (F.col(f"x.{doc}") == F.col(f"y.{doc}")) & F.col("x.source").eqNullSafe(F.col("y.source")), "left_anti").select(doc, "source", "ord")
+    n = affiliations.groupBy(doc).agg(F.count("*").alias("n_aff")).join(authors.groupBy(doc).agg(F.count("*").alias("n_aut")), doc)
+    only = bare.join(n.where("n_aff = 1").select(doc), doc).join(b.select(doc, "target"), doc).select(doc, "source", "target")
+    placed = bare.join(n.where("n_aff > 1 AND n_aff = n_aut").select(doc), doc).join(b.select(doc, "ord", "target"), [doc, "ord"]).select(doc, "source", "target")
+    return edges.unionByName(only).unionByName(placed)
 
 
 def topological(nodes: list, edges: list[tuple]) -> list | None:

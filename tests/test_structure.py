@@ -41,6 +41,19 @@ def test_affiliations_by_marker_single_and_place(spark):
     assert got == {("a1", "y"), ("a2", "x"), ("b1", "u"), ("b2", "u"), ("c1", "v"), ("c2", "w")}
 
 
+def test_affiliations_do_not_pair_whole_documents(spark):
+    """Several shared markers give one edge; 40,000 x 4,000 rows of one document used to be 160 million pairs."""
+    sch = "doc string, id string, ord int, markers array<string>"
+    a = one(spark, [("m", "a1", 0, ["1", "2", None]), ("m", "a2", 1, [None]), ("m", "a3", 1, None), ("k", "d", 0, ["9"]), ("p", "e1", 0, ["1"]), ("p", "e2", 1, ["7"])], sch)
+    f = one(spark, [("m", "x", 0, ["2", "1", "2"]), ("m", "y", 1, [None, "3"]), ("m", "z", 1, []), ("k", "u", 3, ["8"]), ("p", "v", 0, ["2", "1"]), ("p", "w", 1, ["1"])], sch)
+    got = [(r.source, r.target) for r in S.affiliated(a, f, "doc").collect()]
+    assert sorted(got) == [("a1", "x"), ("a2", "y"), ("a2", "z"), ("a3", "y"), ("a3", "z"), ("d", "u"), ("e1", "v"), ("e1", "w"), ("e2", "w")]
+    many = lambda n, k: spark.range(n).select(F.lit("d").alias("doc"), F.col("id").cast("string").alias("id"), F.lit(0).alias("ord"), F.array((F.col("id") * k).cast("string")).alias("markers"))
+    d = S.affiliated(many(40_000, 1), many(4_000, 10), "doc")
+    assert d.count() == 4_000
+    assert "Window" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_join_across_hyphens(spark):
     d = one(spark, [(["A com-", "mon word, pre-", "and post-war"],), (["one"],), ([],)], "t array<string>")
     assert [r[0] for r in d.select(S.hyphen_joined(F.col("t"))).collect()] == ["A common word, pre- and post-war", "one", ""]
