@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectorium.functions.stretches import bits_of, exact, found
-from lectorium.functions.text import normal_block_text
+from lectorium.functions.text import SPACES
 from lectorium.operators.versions import latest
 from lectorium.session import small, spread, stored
 
@@ -56,7 +56,8 @@ def sides(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
 
 def _normal(blocks: DataFrame, doc: str) -> DataFrame:
     """Blocks with their text in its normal form, which is worked out once, and its digest; none for empty texts."""
-    d = stored(blocks.select(doc, "id", "side", "kind", "page", "section", "box_page", "x", "y", F.coalesce(normal_block_text(F.col("text")), F.lit("")).alias("norm")))
+    norm = F.lower(F.trim(F.regexp_replace("text", f"{SPACES}+", " ")))  # normal_block_text, whose ends are blanks by then
+    d = stored(blocks.select(doc, "id", "side", "kind", "page", "section", "box_page", "x", "y", F.coalesce(norm, F.lit("")).alias("norm")))
     return d.withColumn("t", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))))
 
 

@@ -107,3 +107,18 @@ def test_pairs_and_matches_agree_with_all_pairs(spark):
             greedy.append((d, o, w, s))
     assert sorted(map(tuple, M.reconciled_blocks(blocks, "doc").collect())) == sorted(greedy)
     assert M.reconciled_blocks(blocks.limit(0), "doc").count() == 0
+
+
+def test_remapped_notes_of_unchanged_blocks_move_no_text(spark):
+    """Blocks that stay as they are on their page are matched before texts are looked for in each other."""
+    same = [("d", f"b{k}", "p", k // 3, f"The text of block {k} stays as it is.", "l", k // 3, 10.0, 100.0 * k) for k in range(60)]
+    df = spark.createDataFrame(same, BLOCK)
+    seen = []
+    try:
+        whole, M._all_pairs = M._all_pairs, lambda d, doc: seen.append(d.count()) or whole(d, doc)
+        m = M.reconciled_blocks(M.sides(df, df.withColumn("id", F.concat(F.lit("n-"), "id")), "doc"), "doc")
+        back = M.remapped(df.select("doc", F.col("id").alias("block")), m, ["doc"], "block")
+        assert sorted(r.block for r in back.collect()) == sorted("n-" + r[1] for r in same)
+    finally:
+        M._all_pairs = whole
+    assert seen == [0]
